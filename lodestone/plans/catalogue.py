@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.engine import Engine
+from lodestone.plans import clickstream, core, frames, tpch
+from lodestone.sources.readers import TABLES
+
+SAME = core.SAME | tpch.SAME | clickstream.SAME
+PAIRS = core.PAIRS | clickstream.PAIRS
+
+
+def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    used = tuple(t for t in TABLES if t in text)
+    return lambda spark, folder: Engine(spark, folder, used).sql(text)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    texts = SAME | {k: spark for k, (spark, _) in PAIRS.items()}
+    return {k: _run(t) for k, t in texts.items()} | {k: q for k, (q, _) in frames.FRAMES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SAME | {k: oracle for k, (_, oracle) in PAIRS.items()} | {k: s for k, (_, s) in frames.FRAMES.items()}
