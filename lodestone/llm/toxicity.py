@@ -95,7 +95,10 @@ def _shared(keys: np.ndarray, counts: np.ndarray, discount: float) -> np.ndarray
 
 @dataclass
 class Model:
-    """Log-likelihood ratios of seen five-grams and, for unseen ones, of seen contexts; and the curve. slots hold the keys."""
+    """Log-likelihood ratios of seen five-grams and, for unseen ones, of seen contexts; and the curve.
+
+    Only seen keys are stored and sent; each worker lays them out by slot when it first needs them.
+    """
 
     bits: int
     keys: np.ndarray
@@ -105,6 +108,22 @@ class Model:
     curve: np.ndarray
     prior: float
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "laid"}
+
+    def by_slot(self) -> tuple[np.ndarray, ...]:
+        """Five-grams, their ratios, contexts and their ratios, each at its slot."""
+        if "laid" not in self.__dict__:
+            laid = []
+            for keys, values in ((self.keys, self.ratio), (self.contexts, self.backoff)):
+                at = slot(keys, self.bits)
+                for x in (keys, values):
+                    out = np.zeros(1 << self.bits, x.dtype)
+                    out[at] = x
+                    laid.append(out)
+            self.laid = tuple(laid)
+        return self.laid
+
     def evidence(self, text: str) -> tuple[float, ...]:
         """Mean ratio of all characters, and of the strongest words' per-character ratios."""
         if not len(self.keys):
@@ -112,12 +131,13 @@ class Model:
         keys, place = symbols(text)
         if not len(keys):
             return (0.0,) * (1 + len(STRONGEST))
+        grams, ratio, contexts, backoff = self.by_slot()
         at = slot(keys, self.bits)
-        out = self.ratio[at].astype(np.float64)
-        unseen = self.keys[at] != keys
+        out = ratio[at].astype(np.float64)
+        unseen = grams[at] != keys
         context = keys[unseen] >> np.uint64(STEP)
         at = slot(context, self.bits)
-        out[unseen] = np.where(self.contexts[at] == context, self.backoff[at], 0)
+        out[unseen] = np.where(contexts[at] == context, backoff[at], 0)
         starts = np.flatnonzero(place == 0)
         words = np.add.reduceat(out, starts) / np.diff(np.append(starts, len(out)))
         top = np.sort(np.partition(words, -3)[-3:] if len(words) > 3 else words)[::-1]
@@ -146,11 +166,7 @@ def estimate(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, prior: f
         rest = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
         chance.append(np.maximum(n - discount, 0) / np.maximum(total, 1)[at] + rest[at] * shared)
         left.append(rest)
-    size = 1 << bits
-    table, ratio, context_table, backoff = np.zeros(size, np.uint64), np.zeros(size, np.float32), np.zeros(size, np.uint64), np.zeros(size, np.float32)
-    table[slot(keys, bits)], ratio[slot(keys, bits)] = keys, np.log(chance[0] / chance[1])
-    context_table[slot(contexts, bits)], backoff[slot(contexts, bits)] = contexts, np.log(left[0] / left[1])
-    return Model(bits, table, ratio, context_table, backoff, none, prior)
+    return Model(bits, keys, np.log(chance[0] / chance[1]).astype(np.float32), contexts, np.log(left[0] / left[1]).astype(np.float32), none, prior)
 
 
 def fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -214,6 +230,7 @@ def fit(documents: DataFrame, labels: DataFrame, bits: int = TABLE, curve_rows:
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), batch.column("toxic").cast(pa.float64())], names=["features", "toxic"])
 
     seen = some.mapInArrow(run, "features array<double>, toxic double").toArrow()
+    sent.destroy()
     model.curve = fit_curve(np.array(seen.column("features").to_pylist()).reshape(seen.num_rows, -1), seen.column("toxic").to_numpy())
     return model
 
