@@ -1,16 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models over the characters of words.
 
-A word (a run of letters and digits, lower-cased) is a sequence of characters and an end mark, each predicted from up to four
-characters before it within the word. The toxic and the ordinary model have five-gram counts of their own and share every lower
-order: its Kneser-Ney continuation counts are pooled over both classes, so an expression that neither class has seen often falls
-back to the same estimate in both and says little, however rare it is. A word's evidence is the difference of its log-likelihoods
-under the two models, divided by its length; a text's evidence is that of its strongest words and of all its characters, each
-again divided by the number it sums over. A logistic curve over these, fitted on labelled rows that the counts leave out, turns
+A word (a run of letters and digits, lower-cased) is a sequence of characters and an end mark, each predicted from up to seven
+characters before it within the word. The toxic and the ordinary model have eight-gram counts of their own and share every lower
+order: its Kneser-Ney continuation counts are pooled over both classes and count as PULL occurrences in each, so an expression
+that a class has hardly seen falls back to the same estimate in both and says little, however rare it is. A word's evidence is the
+difference of its log-likelihoods under the two models; a text's is the mean over all its characters and over its strongest words,
+so that long texts and short ones compare. A logistic curve over these, fitted on labelled rows that the counts leave out, turns
 evidence into a score.
 
-Counts cover all labelled rows whole. The model has a fixed number of slots (2**TABLE); where five-grams share a slot the more
+Counts cover all labelled rows whole. The model has a fixed number of slots (2**TABLE); where eight-grams share a slot the more
 frequent stays, so what is sent to the executors is bounded at any size. Only the curve is fitted on a bounded sample (CURVE rows).
 
+Characters are told apart by their code modulo 253: those of Latin-1 all, others of different scripts not always.
+
 Defined cases: null text counts as empty; a text without words has no evidence and gets the score of evidence zero; a doc_id with
 several labels is toxic if any of them says so; labels that are null, or of documents that are absent, are not used; if either
 class has no rows, every text scores the share of toxic rows (0 without labels). Repeated rows are scored alike.
@@ -26,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import appended, free_name
+from lodestone.llm.common import appended, free_name, partitions
 
 TABLE = 21
 CURVE = 20_000
-STEP = 12
-PIECE = 1 << STEP
+#: Bits of a character in a key, and characters of a key.
+STEP, ORDER = 8, 8
+#: Occurrences that the shared estimate counts as in each context of a class.
+PULL = 6
 #: Words of the strongest evidence that a text is judged by.
 STRONGEST = (1, 3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -40,7 +44,7 @@ _LETTER[[*range(48, 58), *range(97, 123)]] = True
 
 
 def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Five-gram keys of a text's words (12 bits a character, the predicted one lowest) and the position of each in its word."""
+    """Keys of the ORDER-grams of a text's words (STEP bits a character, the predicted one lowest) and the position of each in its word."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     wide = codes >= 128
     letter = _LETTER[np.where(wide, 0, codes)] | (wide & (codes >= 0xAA) & ((codes < 0x2000) | (codes > 0x206F)) & (codes != 0x3000))
@@ -48,7 +52,7 @@ def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
     letter = np.concatenate((letter, [False]))
     stay = letter | before
     letter = letter[stay]
-    code = np.where(letter, np.concatenate((codes, [0]))[stay] % 4093 + 2, 1).astype(np.uint64)
+    code = np.where(letter, np.concatenate((codes, [0]))[stay] % ((1 << STEP) - 3) + 2, 1).astype(np.uint64)
     n = len(code)
     if n == 0:
         return code, np.empty(0, np.int64)
@@ -56,7 +60,7 @@ def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
     starts = np.concatenate(([0], ends[:-1] + 1))
     place = np.arange(n) - np.repeat(starts, ends - starts + 1)
     keys = code.copy()
-    for k in range(1, 5):
+    for k in range(1, ORDER):
         keys[k:] |= np.where(place[k:] >= k, code[:-k], np.uint64(0)) << np.uint64(STEP * k)
     return keys, place
 
@@ -72,9 +76,9 @@ def _sum_by(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _shared(keys: np.ndarray, counts: np.ndarray, discount: float) -> np.ndarray:
-    """Pooled Kneser-Ney probability of each five-gram's last character after its last three."""
+    """Pooled Kneser-Ney probability of each ORDER-gram's last character, from the orders below."""
     levels, grams, weights = [], keys, counts
-    for order in range(4, 0, -1):
+    for order in range(ORDER - 1, 0, -1):
         lower = grams & np.uint64((1 << STEP * order) - 1)
         distinct, at = np.unique(lower, return_inverse=True)
         types, raw = np.bincount(at, minlength=len(distinct)).astype(float), np.bincount(at, weights, len(distinct))
@@ -83,19 +87,19 @@ def _shared(keys: np.ndarray, counts: np.ndarray, discount: float) -> np.ndarray
         levels.append((distinct, np.where(start & (order > 1), raw, types), at))
         grams, weights = distinct, raw
     p = np.empty(0)
-    for order, (distinct, n, _) in zip(range(1, 5), reversed(levels)):
+    for order, (distinct, n, _) in zip(range(1, ORDER), reversed(levels)):
         if order == 1:
             p = n / n.sum()
         else:
             _, at, total = _sum_by(distinct >> np.uint64(STEP), n)
             types = np.bincount(at, minlength=len(total))
-            p = np.maximum(n - discount, 0) / total[at] + discount * types[at] / total[at] * p[levels[4 - order + 1][2]]
+            p = np.maximum(n - discount, 0) / total[at] + discount * types[at] / total[at] * p[levels[ORDER - order][2]]
     return p[levels[0][2]]
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios of seen five-grams and, for unseen ones, of seen contexts; and the curve.
+    """Log-likelihood ratios of seen ORDER-grams and, for unseen ones, of seen contexts; and the curve.
 
     Only seen keys are stored and sent; each worker lays them out by slot when it first needs them.
     """
@@ -112,7 +116,7 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "laid"}
 
     def by_slot(self) -> tuple[np.ndarray, ...]:
-        """Five-grams, their ratios, contexts and their ratios, each at its slot."""
+        """ORDER-grams, their ratios, contexts and their ratios, each at its slot."""
         if "laid" not in self.__dict__:
             laid = []
             for keys, values in ((self.keys, self.ratio), (self.contexts, self.backoff)):
@@ -125,7 +129,7 @@ class Model:
         return self.laid
 
     def evidence(self, text: str) -> tuple[float, ...]:
-        """Mean ratio of all characters, and of the strongest words' per-character ratios."""
+        """Mean ratio of all characters, and mean ratio of the strongest words."""
         if not len(self.keys):
             return (0.0,) * (1 + len(STRONGEST))
         keys, place = symbols(text)
@@ -139,8 +143,9 @@ class Model:
         at = slot(context, self.bits)
         out[unseen] = np.where(contexts[at] == context, backoff[at], 0)
         starts = np.flatnonzero(place == 0)
-        words = np.add.reduceat(out, starts) / np.diff(np.append(starts, len(out)))
-        top = np.sort(np.partition(words, -3)[-3:] if len(words) > 3 else words)[::-1]
+        words = np.add.reduceat(out, starts)
+        most = max(STRONGEST)
+        top = np.sort(np.partition(words, -most)[-most:] if len(words) > most else words)[::-1]
         return (float(out.mean()), *(float(top[:k].sum()) / k for k in STRONGEST))
 
     def score(self, text: str) -> float:
@@ -151,7 +156,7 @@ class Model:
 
 
 def estimate(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, prior: float, bits: int = TABLE) -> Model:
-    """The model, still without its curve, from the counts of distinct five-grams of distinct slots."""
+    """The model, still without its curve, from the counts of distinct ORDER-grams of distinct slots."""
     none = np.empty(0)
     if not (toxic.sum() and ordinary.sum()):
         return Model(bits, none, none, none, none, none, prior)
@@ -163,8 +168,8 @@ def estimate(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, prior: f
     chance, left = [], []
     for n in (toxic, ordinary):
         total, types = np.bincount(at, n, len(contexts)), np.bincount(at, n > 0, len(contexts))
-        rest = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
-        chance.append(np.maximum(n - discount, 0) / np.maximum(total, 1)[at] + rest[at] * shared)
+        rest = (discount * types + PULL) / (total + PULL)
+        chance.append(np.maximum(n - discount, 0) / (total + PULL)[at] + rest[at] * shared)
         left.append(rest)
     return Model(bits, keys, np.log(chance[0] / chance[1]).astype(np.float32), contexts, np.log(left[0] / left[1]).astype(np.float32), none, prior)
 
@@ -185,7 +190,10 @@ def fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def count_grams(rows: DataFrame, bits: int = TABLE) -> DataFrame:
-    """slot, key, toxic, ordinary: each slot's most frequent five-gram over all rows (text, toxic)."""
+    """key, toxic, ordinary: each slot's most frequent ORDER-gram over all rows (text, toxic).
+
+    Each batch is summed before it is sent; one shuffle by slot serves both sums.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +207,7 @@ def count_grams(rows: DataFrame, bits: int = TABLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(slot(keys, bits)), pa.array(keys.view(np.int64)), pa.array(np.bincount(at[n:], minlength=len(keys))), pa.array(np.bincount(at[:n], minlength=len(keys)))], names=["slot", "key", "toxic", "ordinary"])
 
     counted = rows.select("text", "toxic").mapInArrow(run, "slot bigint, key bigint, toxic bigint, ordinary bigint")
-    summed = counted.groupBy("slot", "key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    summed = counted.repartition(partitions(rows.sparkSession), "slot").groupBy("slot", "key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     best = F.max(F.struct((F.col("toxic") + F.col("ordinary")).alias("n"), "key", "toxic", "ordinary"))
     return summed.groupBy("slot").agg(best.alias("best")).select("best.key", "best.toxic", "best.ordinary")
 
