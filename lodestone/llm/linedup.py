@@ -1,10 +1,12 @@
 """Line dedup by content-defined chunks of lines.
 
 A text is cut into lines and the lines into chunks: a chunk ends behind a line where a rolling hash over the last two line hashes
-falls into one class of EVERY, but not before it has two lines. Where chunks end thus depends on the lines around, not on where
-they stand, and a passage moved to another place is cut as before. Chunks of two lines or more, and single lines of WORDS words
-or more, that occur again anywhere in the table are removed but for their first occurrence (the smallest doc_id, then the
-smallest text hash and place). A text none of whose chunks is removed stays byte for byte.
+falls into one class of EVERY, but not before it has two lines, and at MOST lines at the latest (runs of one and the same line have
+one rolling hash). A line of WORDS words or more is a chunk of its own. Where chunks end thus depends on the lines around, not on
+where they stand, and a passage moved to another place is cut as before. Chunks of two lines or more, and long lines, that occur
+again anywhere in the table are removed but for their first occurrence (the smallest doc_id, then the smallest text hash and place).
+A text none of whose chunks is removed stays byte for byte. Of a repeated passage of short lines the part before its first and
+behind its last boundary is not a whole chunk and stays.
 
 Repeats are found by 128-bit hashes, counted with partial sums. Texts of possible repeats (a fixed-size bitmap of the repeated
 hashes finds them in a second scan; what it lets through besides only costs rows) are then grouped as they are, which compares
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import checkpointed, free_name
 
-EVERY = 3
+EVERY = 2
+MOST = 16
 WORDS = 50
 BITMAP = 26
 _M = (1 << 64) - 1
@@ -38,15 +41,24 @@ def _line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
-def chunks(text: str, every: int = EVERY) -> list[list[str]]:
+def is_long(line: str) -> bool:
+    """Whether a line has WORDS words or more."""
+    return len(line) >= 2 * WORDS - 1 and len(line.split(None, WORDS)) >= WORDS
+
+
+def chunks(text: str, every: int = EVERY, most: int = MOST) -> list[list[str]]:
     """The lines of a text in content-defined chunks; the line breaks between them are left out."""
     out, current, before = [], [], 0
     for line in text.split("\n"):
         here = _line_hash(line)
-        current.append(line)
         rolling = (before * 0x9E3779B97F4A7C15 + here) & _M
         before = here
-        if len(current) >= 2 and (rolling ^ (rolling >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 61) % every == 0:
+        if is_long(line):
+            out += [current, [line]] if current else [[line]]
+            current = []
+            continue
+        current.append(line)
+        if len(current) >= most or len(current) >= 2 and (rolling ^ (rolling >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 61) % every == 0:
             out.append(current)
             current = []
     if current:
@@ -58,7 +70,7 @@ def candidates(text: str) -> Iterator[tuple[int, str]]:
     """Number and text of the chunks that may be removed."""
     for no, lines in enumerate(chunks(text)):
         chunk = "\n".join(lines)
-        if (len(lines) >= 2 and not chunk.isspace() and chunk) or len(chunk.split()) >= WORDS:
+        if len(lines) >= 2 and chunk and not chunk.isspace() or is_long(chunk):
             yield no, chunk
 
 
@@ -118,10 +130,11 @@ def without(text: str | None, gone: list[int] | None) -> str | None:
 
 def remove_repeats(documents: DataFrame, counter: str | None = None) -> DataFrame:
     """documents with repeated chunks removed from text, and, if named, the number of chunks removed in another column."""
-    th, gone, left = free_name(documents, "th"), free_name(documents, "gone"), documents.columns
-    found = removals(documents).select(F.col("doc_id").alias(f"{th}i"), F.col("th").alias(f"{th}h"), F.col("gone").alias(gone))
+    left = documents.columns
+    th, gone, of, on = (free_name(documents, x) for x in ("th", "gone", "of", "on"))
+    found = removals(documents).select(F.col("doc_id").alias(of), F.col("th").alias(on), F.col("gone").alias(gone))
     rows = documents.withColumn(th, F.xxhash64("text"))
-    rows = rows.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(f"{th}i")) & (F.col(th) == F.col(f"{th}h")), "left").select(*[f"`{c}`" for c in left], gone)
+    rows = rows.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(th) == F.col(on)), "left").select(*[f"`{c}`" for c in left], gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = left.index("text")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, partitions
+from lodestone.llm.common import checkpointed, free_name, partitions
 from lodestone.llm.components import components
 
 WORDS = 4
@@ -56,14 +56,14 @@ def fingerprint(text: str, words: int = WORDS, seed: int = 42) -> int:
 
 
 def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit number, row by row."""
+    """doc_id, a hash of the text, and the fingerprint as a signed 64-bit number, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(t or "", words) for t in batch.column("text").to_pylist()], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(got)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(got)], names=["doc_id", "th", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return documents.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
 
 
 def _own_keys(fp, start: int):
@@ -170,13 +170,14 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable by links) of every row."""
+    """doc_id, th (a hash of the text), fp, root (a fingerprint that names the component) and component_id (the smallest doc_id
+    reachable by links) of every row."""
     rows = checkpointed(fingerprints(documents, words))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp")))
     members = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = members.join(members.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = members.join(members.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def op8(documents: DataFrame) -> DataFrame:
@@ -187,10 +188,13 @@ def op8(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows of documents that stay when one row of each component does: the one that names it, by its doc_id.
 
-    Rows without doc_id stay only where no row of their component has one. Of rows that share the doc_id that stays, one stays.
+    Of several rows with that doc_id, one of the least text hash stays; rows without doc_id stay only where their component has
+    no other.
     """
-    found = near_duplicates(documents)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), "fp")
-    kept = checkpointed(kept.groupBy("__kept").agg(F.count("*").alias("n")))
-    stay = documents.join(kept.select("__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return stay.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else stay
+    doc_id, th = free_name(documents, "kept"), free_name(documents, "th")
+    named = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    kept = checkpointed(named.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("k")).select(F.col("k.doc_id").alias(doc_id), F.col("k.th").alias(th), "k.n"))
+    stay = documents.join(kept.drop("n"), F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(th)), "left_semi")
+    if kept.where("n > 1").isEmpty():
+        return stay
+    return stay.withColumn(th, F.xxhash64("text")).dropDuplicates(["doc_id", th]).drop(th)

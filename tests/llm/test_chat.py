@@ -1,0 +1,73 @@
+"""op9 against a rendering in Python."""
+
+import re
+from itertools import groupby
+
+import duckdb
+
+from lodestone.llm import chat
+
+CASES = [
+    (1, 0, "system", "be kind"), (1, 1, "anna", "hi"), (1, 2, "bo", "hello <|im_end|>"), (1, 3, "anna", None), (1, 3, "anna", None), (1, None, "cy", "early"), (2, 0, "system", "alone"), (None, 0, "anna", "no id"), (None, 1, None, "no role"), (3, 5, "bo", ""), (3, 5, "anna", "tie"),
+    *[(4, t, ("anna", "bo", "cy")[t % 3], "word " * (t % 7)) for t in range(300)], (5, 1, "anna", "long " * 50_000), (5, -70, "bo", "before"),
+]
+
+
+def expected(rows):
+    out = []
+    for conv, turns in groupby(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), key=lambda r: r[0]):
+        said = [(t, s or "unknown", (x or "").replace("<|im_", "<|_im_")) for _, t, s, x in turns]
+        for perspective in {s for _, s, _ in said} - {"system"}:
+            framed = []
+            for t, s, x in said:
+                role = "system" if s == "system" else "assistant" if s == perspective else "user"
+                head = f"<|im_start|>{role}" + (f" name={s}" if role == "user" else "") + "\n"
+                framed.append((t is not None, t or 0, s, f"{head}{x}<|im_end|>\n", t, role, len(head)))
+            at = 0
+            for position, (_, _, s, segment, t, role, head) in enumerate(sorted(framed)):
+                end = at + len(segment)
+                own = s == perspective
+                out.append((conv, perspective, position, t, s, role, segment, at, end, at + head if own else None, end - 1 if own else None))
+                at = end
+    return sorted(out, key=str)
+
+
+COLUMNS = ("conv_id", "perspective", "position", "turn", "speaker", "role", "segment", "char_start", "char_end", "mask_start", "mask_end")
+
+
+def got(df):
+    return sorted((tuple(r) for r in chat.op9(df).select(*COLUMNS).collect()), key=str)
+
+
+def test_whole_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in df.collect()]
+    assert got(df) == expected(rows)
+
+
+def test_cases(spark):
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in CASES], "conv_id bigint, turn bigint, role string, text string, speaker string, block string, of string").repartition(3)
+    assert got(df) == expected(CASES)
+
+
+def test_empty_table(spark):
+    assert got(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")) == []
+
+
+def test_masks_cover_own_words_and_end_mark(spark):
+    rows = chat.op9(spark.createDataFrame([(1, 0, "anna", "hi"), (1, 1, "bo", "yo")], "conv_id bigint, turn bigint, role string, text string")).where("perspective = 'bo'").orderBy("position").collect()
+    whole = "".join(r.segment for r in rows)
+    assert whole == "<|im_start|>user name=anna\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
+    assert [whole[r.mask_start : r.mask_end] for r in rows if r.mask_start is not None] == ["yo<|im_end|>"]
+
+
+def test_sql_agrees(spark):
+    c = duckdb.connect()
+    c.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    wanted = sorted(c.execute(f"SELECT {', '.join(COLUMNS)} FROM ({chat.SQL})").fetchall(), key=str)
+    assert wanted == got(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    assert not re.search("Python|Pandas|Arrow", spark._jvm.PythonSQLUtils.explainString(chat.op9(df)._jdf.queryExecution(), "simple"))

@@ -1,0 +1,73 @@
+"""op6 on pages made to show each rule, and on the fixture's pages."""
+
+import re
+
+from lodestone.llm import html
+
+ARTICLE = """
+<h1>Title &amp; more</h1><p>First   paragraph
+with <b>bold</b>, a <a href="/x">link</a> &eacute; &#8364; &lt;tag&gt;.</p>
+<ul><li>one</li><li>two<li>three</ul><pre>kept  code</pre><p>Last words of the article, which goes on for a while.</p>
+"""
+TEXT = "\n\n".join(["Title & more", "First paragraph with bold, a link é € <tag>.", "one", "two", "three", "kept code", "Last words of the article, which goes on for a while."])
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p {{}}</style><script>if (a < b) "</p>";</script></head><body>
+<header><p>Site name</p></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
+<div class="cookie-notice">We use cookies on this site, please agree to that before you go on reading.</div>
+<div id="wrap12"><div class="post-content7">{}</div>
+<aside class="sidebar"><p>Popular things that are not of the article at all, and much of it, really much of it.</p></aside>
+<div class="ad-box"><p>Buy now, buy here, buy all of these many things that nobody needs.</p></div>
+<form action="/s"><label>Search</label><input name="q"></form>
+<section class="comments"><div class="comment"><p>I said something long below the article, as readers do, over and over again.</p></div></section></div>
+<footer><p>Copyright by somebody</p></footer><!-- <p>hidden</p> --></body></html>"""
+
+
+def test_page():
+    assert html.extract(PAGE.format(ARTICLE), None) == TEXT
+
+
+def rows(spark, pages):
+    return spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id bigint, url string, html string, host string, path string")
+
+
+def got(df):
+    return sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html.op6(df).collect()), key=str)
+
+
+def test_host_path_decides(spark):
+    """A page whose comments, without a telling class, are longer than its text is read as its host's other pages are."""
+    page = '<body><div class="main-text">{}</div><div class="zone">{}</div></body>'
+    many = [(k, f"http://a.example/{k}", page.format(f"<p>{'words of an article ' * 40}</p>", "<p>small talk</p>")) for k in range(6)]
+    odd = (9, "http://A.example/9", page.format("<p>A short article.</p>", f"<p>{'loud talk below ' * 60}</p>"))
+    texts = {i: t for i, _, t, _ in got(rows(spark, [*many, odd]))}
+    assert texts[9] == "A short article."
+    assert texts[0] == ("words of an article " * 40).strip()
+
+
+def test_cases(spark):
+    pages = [
+        (1, None, None), (2, "http://b.example", ""), (3, "no host", "plain words, no markup"), (3, "no host", "plain words, no markup"), (None, None, "<p>null id"), (5, "http://c.example/", "<div><p>cut off <b>anywhere</p><p>and so <"), (6, "http://c.example/6", "</div></p></x><!-- open"),
+        (7, "http://d.example", "<div>" * 3000 + "deep" + "</div>" * 3000), (8, "http://e.example", "<p>" + "long text " * 100_000), (9, "http://f.example", "<article><p>" + "</p><p>".join(f"row {k}" for k in range(2000)) + "</article>"),
+    ]
+    texts = {(i, u): (t, n) for i, u, t, n in got(rows(spark, pages))}
+    assert len(got(rows(spark, pages))) == len(pages)
+    assert texts[1, None] == texts[2, "http://b.example"] == texts[6, "http://c.example/6"] == ("", 0)
+    assert texts[3, "no host"] == ("plain words, no markup", 22)
+    assert texts[None, None][0] == "null id"
+    assert texts[5, "http://c.example/"][0].startswith("cut off anywhere\n\nand so")
+    assert texts[7, "http://d.example"][0] == "deep"
+    assert texts[8, "http://e.example"][1] == 999_999
+    assert texts[9, "http://f.example"][0] == "\n\n".join(f"row {k}" for k in range(2000))
+
+
+def test_empty_table(spark):
+    assert got(rows(spark, [])) == []
+
+
+def test_fixture(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    out = got(pages)
+    assert [(i, u) for i, u, _, _ in out] == sorted(((r.page_id, r.url) for r in pages.collect()), key=str)
+    for _, _, text, n in out:
+        assert n == len(text) and text
+        assert not re.search(r"</?\w+[^>]*>|&amp;|&lt;", text)
+        assert all(b == " ".join(b.split()) and b for b in text.split("\n\n"))

@@ -1,0 +1,74 @@
+"""op7 against the tokenizer library, and first-fit decreasing against a search bin by bin."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+from tokenizers import Tokenizer
+
+from lodestone.llm import packing
+from lodestone.llm.queries import PACKED, PATTERN
+
+from .conftest import CASES
+
+
+def hold(rows, pieces):
+    """pieces are what the contract asks for of rows; returns the share of padding."""
+    tokenizer = Tokenizer.from_file(PACKED)
+    wanted = defaultdict(list)
+    for (i, _), e in zip(rows, tokenizer.encode_batch([t or "" for _, t in rows], add_special_tokens=False)):
+        wanted[i].append(np.array([*e.ids, 0], dtype="<u4"))
+    of_doc, of_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        of_doc[p.doc_id].append(p)
+        of_sequence[p.sequence_id].append(p)
+    assert of_doc.keys() == wanted.keys()
+    for i, all_ids in wanted.items():
+        # Rows of one doc_id: each piece must be one that the rows' cuts give, as often as they do.
+        cuts = sorted((s, len(ids[s : s + 1024]), zlib.crc32(ids[s : s + 1024].tobytes()), len(ids)) for ids in all_ids for s in range(0, len(ids), 1024))
+        assert cuts == sorted((p.start, p.length, p.ids_crc32, p.doc_tokens) for p in of_doc[i])
+    for some in of_sequence.values():
+        at = 0
+        for p in sorted(some, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 1024
+    used = [sum(p.length for p in s) for s in of_sequence.values()]
+    return sum(0 if u & (u - 1) == 0 else 1024 - u for u in used) / max(1, sum(used))
+
+
+def test_whole_table(whole):
+    assert hold(whole[0], packing.op7(whole[1], PACKED, PATTERN).collect()) < 0.02
+
+
+def test_cases(cases):
+    hold(CASES, packing.op7(cases, PACKED, PATTERN).collect())
+
+
+def test_many_groups(documents):
+    rng = random.Random(3)
+    rows = [(k, "word " * rng.randint(0, 1500)) for k in range(400)]
+    pieces = packing.pack(documents(rows), PACKED, PATTERN, group=50).collect()
+    assert len({p.sequence_id >> 31 for p in pieces}) == 8
+    assert hold(rows, pieces) < 0.1
+
+
+def test_empty_table(documents):
+    assert packing.op7(documents([]), PACKED, PATTERN).collect() == []
+
+
+def test_first_fit_decreasing():
+    rng = random.Random(1)
+    for n in (1, 2, 3, 50, 300):
+        sizes = [rng.randint(1, 1024) for _ in range(n)]
+        free, wanted = [], [None] * n
+        for i in sorted(range(n), key=lambda i: -sizes[i]):
+            b = next((b for b, room in enumerate(free) if room >= sizes[i]), None)
+            if b is None:
+                free.append(1024)
+                b = len(free) - 1
+            wanted[i] = b, 1024 - free[b]
+            free[b] -= sizes[i]
+        assert packing.first_fit_decreasing(sizes) == wanted
+    assert packing.first_fit_decreasing([]) == []

@@ -1,0 +1,83 @@
+"""The pipeline's stages, each against what its operator gives for the stage's own input."""
+
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+
+from . import test_packing
+from .test_linedup import expected as deduplicated
+from .test_simhash import expected as components
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """(name, input rows, output) of each stage, as run() chains them."""
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stage") / name)
+        stage(spark, docs, SF).write.parquet(path)
+        got = spark.read.parquet(path)
+        out.append((name, docs, got))
+        docs = got
+    return out
+
+
+def pairs(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def test_columns(spark, stages):
+    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
+    assert [name for name, _, _ in stages] == ["toxicity", "language", "line_dedup", "near_dedup", "packing"]
+    assert all(out.columns == columns for _, _, out in stages[:-1])
+
+
+def test_toxic_documents_go(spark, stages):
+    _, docs, out = stages[0]
+    predicted = {r.doc_id: r.predicted for r in __spark_entry__.queries()["op5_toxicity"](spark, SF).collect()}
+    assert sorted(i for i, _ in pairs(out)) == sorted(i for i, _ in pairs(docs) if not predicted[i])
+
+
+def test_undetermined_documents_go(stages):
+    _, docs, out = stages[1]
+    gone = {i for i, _ in pairs(docs)} - {i for i, _ in pairs(out)}
+    assert len(gone) <= 0.05 * docs.count()
+    assert all(t for _, t in pairs(out))
+
+
+def test_repeated_lines_go(spark, stages):
+    _, docs, out = stages[2]
+    assert sorted(pairs(out)) == sorted((i, t) for i, t, _ in deduplicated(spark, pairs(docs)))
+    assert all(r.n_chars == len(r.text) for r in out.collect())
+
+
+def test_one_of_each_component_stays(stages):
+    _, docs, out = stages[3]
+    assert sorted(i for i, _ in pairs(out)) == sorted({c for _, _, c in components(pairs(docs))})
+
+
+def test_packing_holds_all(stages):
+    _, docs, out = stages[4]
+    test_packing.hold(pairs(docs), out.collect())
+
+
+def test_run(spark, stages):
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == stages[-1][2].columns and got.count() == stages[-1][2].count()
+
+
+def test_cases(spark, cases, documents):
+    for rows in (cases, documents([])):
+        docs = rows
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+        docs.collect()
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

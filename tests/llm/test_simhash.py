@@ -1,0 +1,102 @@
+"""op8 against all pairs."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from lodestone.llm import simhash
+
+from .conftest import CASES
+
+
+def fingerprint(text):
+    spoken = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    runs = [b" ".join(spoken[i : i + 4]) for i in range(len(spoken) - 3)] or ([b" ".join(spoken)] if spoken else [])
+    h = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps):
+    at = list(range(len(fps)))
+
+    def root(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    values = np.array(fps, dtype=np.uint64)
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= 4) + i + 1:
+            at[root(i)] = root(int(j))
+    return [root(i) for i in range(len(fps))]
+
+
+def expected(rows):
+    fps = [fingerprint(t) for _, t in rows]
+    root = components(fps)
+    least = {}
+    for (i, _), r in zip(rows, root):
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    return sorted(((i, f"{f:016x}", least.get(r)) for (i, _), f, r in zip(rows, fps, root)), key=str)
+
+
+def got(df):
+    return sorted((tuple(r) for r in simhash.op8(df).select("doc_id", "fingerprint", "component_id").collect()), key=str)
+
+
+def test_whole_table(whole):
+    assert got(whole[1]) == expected(whole[0])
+
+
+def test_cases(cases):
+    assert got(cases) == expected(CASES)
+
+
+def test_empty_table(documents):
+    assert got(documents([])) == []
+
+
+def planted(n, seed):
+    """Fingerprints with many at 1 to 6 bits of others."""
+    rng = random.Random(seed)
+    fps = [rng.getrandbits(64) for _ in range(n // 4)] + [0]
+    while len(fps) < n:
+        x = rng.choice(fps)
+        for b in rng.sample(range(64), rng.randint(1, 6)):
+            x ^= 1 << b
+        fps.append(x)
+    return sorted(set(fps))
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 34])
+def test_links_of_planted_fingerprints(spark, hot):
+    fps = planted(1500, 3)
+    root = components(fps)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    found = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp bigint").repartition(5), hot).collect()
+    number = {x: k for k, x in enumerate(fps)}
+    at = list(range(len(fps)))
+
+    def up(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a, b in ((r.a % 2**64, r.b % 2**64) for r in found):
+        assert a != b
+        at[up(number[a])] = up(number[b])
+    assert len({(up(k), root[k]) for k in range(len(fps))}) == len({up(k) for k in range(len(fps))}) == len(set(root))
+
+
+def test_one_of_each(cases):
+    component = {}
+    for i, _, c in expected(CASES):
+        component[i] = c
+    stay = simhash.one_of_each(cases)
+    ids = [r.doc_id for r in stay.collect()]
+    assert sorted(ids, key=str) == sorted({c for c in component.values()}, key=str)
+    assert stay.columns == cases.columns
