@@ -1,8 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 Each page is parsed into elements; an element's score is the text of its own blocks outside links, half as much for the element
-around it. A path names the tags and classes from the root to an element, digits taken out. Each page votes for the path of its
-best container; votes are summed for each host, and the host's winning path decides what is extracted from all of its pages, so
+around it. A path names the tags and classes from the root to an element, digits taken out, and is kept as a chained hash of these
+names, so that deep pages don't give long paths. Each page votes for the path of its best container; votes are summed for each host, and the host's winning path decides what is extracted from all of its pages, so
 that a page whose own best container is a sidebar or a comment thread follows the others. A page without the winning path gives
 its own best container.
 
@@ -18,14 +18,22 @@ vote each and give a row each. Ties go to the first container of a page and to t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import checkpointed
+
+#: Bytes of hosts and paths up to which they are sent to every executor, and the part of all pages from which a host is hot.
+SENT = 8 << 20
+HOT = 1 / 1000
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|iframe|textarea|svg|title|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -64,6 +72,7 @@ class Container:
     """A container's path, score, and the numbers of its first block and of the one behind its last."""
 
     path: str
+    tag: str
     around: int
     score: float = 0.0
     blocks: list[int] = field(default_factory=list)
@@ -87,8 +96,8 @@ def _dropped(tag: str, attributes: dict[str, str]) -> bool:
 def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
     """The page's blocks that are not dropped, each with the number of its container, and the containers."""
     blocks: list[tuple[str, int]] = []
-    containers = [Container("", -1)]
-    stack = [Element("", "", False, 0, False)]
+    containers = [Container("", "", -1)]
+    stack, open_ = [Element("", "", False, 0, False)], Counter()
     text: list[str] = []
     plain = at = 0
 
@@ -106,6 +115,10 @@ def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
             text.clear()
         plain = 0
 
+    def close(i: int) -> None:
+        open_.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
     def said(raw: str) -> None:
         nonlocal plain
         if raw and not stack[-1].dropped:
@@ -124,9 +137,9 @@ def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
         if m[2]:
             if tag in _BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _FENCE and tag not in _FENCE:
                     break
@@ -138,7 +151,7 @@ def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
             ends = _SELF.get(tag, {"p"} if tag != "span" else set())
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _FENCE:
                     break
@@ -149,10 +162,11 @@ def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
         container = top.container
         if tag in _CONTAINER:
             classes = sorted({re.sub(r"\d+", "", c) for c in attributes.get("class", "").split()} - {""})
-            path = f"{top.path}>{'.'.join([tag, *classes])}"
+            path = xxhash.xxh3_128_hexdigest(f"{top.path}>{'.'.join([tag, *classes])}".encode("utf-8", "surrogatepass"))
             if not (top.dropped or _dropped(tag, attributes)):
-                containers.append(Container(path, container))
+                containers.append(Container(path, tag, container))
                 container = len(containers) - 1
+        open_[tag] += 1
         stack.append(Element(tag, path, top.dropped or _dropped(tag, attributes), container, top.link or tag == "a"))
     if at < len(html):
         said(html[at:])
@@ -162,7 +176,7 @@ def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
 
 def best(containers: list[Container]) -> int:
     """The number of the container that scores most; articles and main parts count double."""
-    weigh = lambda c: c.score * (2 if c.path.rpartition(">")[2].split(".")[0] in ("article", "main") else 1)
+    weigh = lambda c: c.score * (2 if c.tag in ("article", "main") else 1)
     return max(range(len(containers)), key=lambda i: (weigh(containers[i]), -i))
 
 
@@ -194,20 +208,37 @@ def host(url):
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """host and path: the container path with the most votes of the host's pages, each vote the square root of its text's length."""
+    """host, path and pages: the container path with the most votes of the host's pages, each vote the square root of its text's length, and the number of these pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [vote(h or "") for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([g[0] for g in got], pa.string()), pa.array([int(100 * max(g[1], 0) ** 0.5) for g in got], pa.int64())], names=["host", "path", "votes"])
 
-    votes = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, votes bigint")
-    counted = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    first = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    return counted.withColumn("rank", first).where("rank = 1").select("host", "path")
+    votes = pages.select("host", "html").mapInArrow(run, "host string, path string, votes bigint")
+    counted = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.count("*").alias("n"))
+    first = F.min_by("path", F.struct(-F.col("votes"), "path"))
+    return counted.groupBy("host").agg(first.alias("path"), F.sum("n").alias("pages"))
+
+
+def with_paths(pages: DataFrame, sent: int = SENT) -> DataFrame:
+    """pages (with a column host) with their host's winning path, without moving the pages of hot hosts.
+
+    The hosts are broadcast if their bytes, which are counted first, are at most ``sent``. Otherwise those with more than the part
+    HOT of all pages, of which there can't be more than 1 / HOT, are; the pages of the others meet their paths in a shuffle by host.
+    """
+    found = checkpointed(winners(pages))
+    known = found.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32).alias("bytes"), F.sum("pages").alias("pages")).first()
+    found, n = found.withColumnRenamed("host", "of"), F.col("pages")
+    on = F.col("host") == F.col("of")
+    if (known["bytes"] or 0) <= sent:
+        return pages.join(F.broadcast(found), on, "left").drop("of", "pages")
+    hot, rest = found.where(n > known["pages"] * HOT), found.where(n <= known["pages"] * HOT)
+    few = F.broadcast(hot)
+    return pages.join(few, on).unionByName(pages.join(few.select("of"), on, "left_anti").join(rest, on)).drop("of", "pages")
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
+def main_texts(pages: DataFrame, sent: int = SENT) -> DataFrame:
     """page_id, url and main text of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +247,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(got, pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select("page_id", "url", "html")
-    joined = rows.withColumn("host", host(F.col("url"))).join(winners(rows), "host", "left").select("page_id", "url", "html", "path")
+    joined = with_paths(rows.withColumn("host", host(F.col("url"))), sent).select("page_id", "url", "html", "path")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string")
 

@@ -59,6 +59,18 @@ def test_cases(spark):
     assert texts[9, "http://f.example"][0] == "\n\n".join(f"row {k}" for k in range(2000))
 
 
+def test_many_hosts(spark, monkeypatch):
+    """Hosts whose paths are too many to send: hot ones are still sent, the others meet their pages in a shuffle."""
+    monkeypatch.setattr(html, "HOT", 0.1)
+    pages = rows(spark, [(k, f"http://{'hot' if k % 3 else k}.example/{k}", PAGE.format(ARTICLE)) for k in range(60)] + [(99, None, None)])
+    texts = [(r.page_id, r.text) for r in html.main_texts(pages, sent=0).collect()]
+    assert sorted(texts) == [(k, TEXT) for k in range(60)] + [(99, "")]
+
+
+def test_deep_pages_are_bounded():
+    assert html.extract("<div class=x>" * 100_000 + "deep" + "</section>" * 1000, None) == "deep"
+
+
 def test_empty_table(spark):
     assert got(rows(spark, [])) == []
 
