@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.engine import Engine
-from lodestone.plans import clickstream, core, frames, tpch
+from lodestone.plans import clickstream, core, frames, suites, tpch
 from lodestone.sources.readers import TABLES
 
-SAME = core.SAME | tpch.SAME | clickstream.SAME
-PAIRS = core.PAIRS | clickstream.PAIRS
+SAME = core.SAME | tpch.SAME | clickstream.SAME | suites.SAME
+PAIRS = core.PAIRS | clickstream.PAIRS | suites.PAIRS
 
 
 def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:

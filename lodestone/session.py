@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -41,3 +42,13 @@ def build_session(app: str = "lodestone", cpus: int | None = None, memory: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that the driver and all executors can write and read: ``spark.checkpoint.dir``, or on one machine a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+    return context.getCheckpointDir()

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import scratch
+
 
 def source(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
     """A stream of the Parquet files of a table (one file, or a folder of files)."""
@@ -16,11 +18,20 @@ def source(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Everything the stream gives until its present end, as a table; state stays with Spark's state store."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Everything an aggregating stream gives until its present end, as a table of Parquet files in the shared folder.
+
+    Executors write each trigger's whole result over the last one, under two names in turn, so nothing passes through the driver
+    and a trigger that is run again after a failure leaves the same table. State and progress are kept beside it.
+    """
+    folder, last = f"{scratch(stream.sparkSession)}/stream-{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path := f"{folder}/{number % 2}")
+        last[:] = [path]
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.parquet(last[0]) if last else stream.sparkSession.createDataFrame([], stream.schema)
 
 
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
