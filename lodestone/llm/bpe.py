@@ -4,7 +4,8 @@ The library encodes each match of the splitting pattern separately. Long texts a
 cross: before a blank that is followed by something other than white space. (A match holds a blank only at its start or in a run
 of white space, and a run that ends in such a blank leaves it to the next match.) The ids of the parts, joined, are those of the
 text, and memory stays bounded. Parts without adjoining white space take an equivalent pattern without look-ahead, which the
-library runs faster.
+library runs faster. Very long runs of white space, at which the library's matching would overflow its stack, are cut out as the
+one match that they are: the whole run at the end of a text, or else all of it but the last character.
 
 Defined cases: null text counts as empty; an empty text has no ids and decodes to no bytes. Text that looks like a special token
 is ordinary text unless that token is passed in. Decoding concatenates raw bytes and never repairs invalid UTF-8.
@@ -31,6 +32,8 @@ from lodestone.llm.common import appended, texts
 PART = 1_000_000
 SAFE = re.compile(r" (?=\S)")
 PAIR = re.compile(r"\s\s")
+#: White space as the library has it (the Unicode property), in runs too long to be left to its matching.
+BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 #: The alternatives that treat runs of white space; where no two white-space characters adjoin, they match single ones.
 RUNS = r"|\s+(?!\S)|\s+"
 
@@ -66,9 +69,11 @@ class Codec:
     def __init__(self, path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
         ranks = read_ranks(path)
         self.special = dict(special)
-        make = lambda pattern: tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+        make = lambda pattern: tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.full = self.simple = make(pattern)
-        if pattern.endswith(RUNS):
+        self.whole = functools.cache(lambda: make(r"(?s:.+)"))
+        self.runs = pattern.endswith(RUNS)
+        if self.runs:
             self.simple = make(pattern.removesuffix(RUNS) + r"|\s")
         self.token = [b""] * (1 + max([*ranks.values(), *self.special.values()], default=-1))
         for token, rank in ranks.items():
@@ -78,12 +83,25 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, four bytes each."""
-        out = []
+        if not any(s in text for s in self.special):
+            return b"".join(self._ordinary(text))
+        parts = re.split(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})", text)
+        return b"".join(x for k, part in enumerate(parts) for x in ([np.uint32(self.special[part]).tobytes()] if k % 2 else self._ordinary(part)))
+
+    def _ordinary(self, text: str) -> Iterator[bytes]:
+        """The ids of a text without special tokens, in parts."""
+        at, blanks = 0, BLANK.finditer(text) if self.runs else ()
+        for m in blanks:
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            yield from self._matched(text[at : m.start()])
+            yield np.array(self.whole().encode_ordinary(text[m.start() : end]), dtype="<u4").tobytes()
+            at = end
+        yield from self._matched(text[at:])
+
+    def _matched(self, text: str) -> Iterator[bytes]:
         for part in safe_parts(text):
-            encoding = self.full if PAIR.search(part) else self.simple
-            ids = encoding.encode(part, allowed_special="all") if any(s in part for s in self.special) else encoding.encode_ordinary(part)
-            out.append(np.array(ids, dtype="<u4").tobytes())
-        return b"".join(out)
+            ids = (self.full if PAIR.search(part) else self.simple).encode_ordinary(part)
+            yield np.array(ids, dtype="<u4").tobytes()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

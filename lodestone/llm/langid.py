@@ -40,7 +40,7 @@ UNDETERMINED = "und"
 _SCALE = 1000.0
 _BASE = np.uint64(0x100000001B3)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDY = re.compile(r"[^\W\d_]")
 _START = "▁"
 
 
@@ -113,6 +113,11 @@ def blocks(text: str) -> list[str]:
     return [w[i : i + BLOCK] for w in words for i in range(0, len(w), BLOCK)]
 
 
+def has_letter(text: str) -> bool:
+    """Whether the text has a character of Unicode's letter categories."""
+    return any(m[0].isalpha() for m in _WORDY.finditer(text))
+
+
 def _by_length(words: Iterable[str]) -> dict[int, list[str]]:
     out: dict[int, list[str]] = {}
     for w in words:
@@ -185,7 +190,7 @@ class Model:
         """Language and posterior of each text; each distinct word of the list is scored once."""
         v, some = vocabulary(self.path), []
         for text in texts:
-            some.append(blocks(text) if text and self.languages and _LETTER.search(text) else None)
+            some.append(blocks(text) if text and self.languages and has_letter(text) else None)
         index, table = log_likelihoods(v, set().union(*(w for w in some if w)), self.p)
         for words in some:
             if words is None:

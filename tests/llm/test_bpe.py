@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -55,6 +56,18 @@ def test_safe_parts_keep_ids(library, monkeypatch):
         assert b"".join(parts) == b"".join(int(x).to_bytes(4, "little") for x in library.encode_ordinary(text))
 
 
+def test_long_runs_of_white_space(library, monkeypatch):
+    """Cut out as one match, they give the library's ids; runs at which the library breaks are encoded too."""
+    rng, codec = random.Random(6), bpe.Codec(MULTI, PATTERN)
+    monkeypatch.setattr(bpe, "BLANK", bpe.re.compile(bpe.BLANK.pattern.replace("10000", "3")))
+    for _ in range(600):
+        text = "".join(rng.choice(["a", "é1", "!", " ", "   ", "\n", "\n\n\n", "\t \u3000\x85", "\x1c", "\u2028"]) for _ in range(14))
+        assert codec.encode(text) == b"".join(int(x).to_bytes(4, "little") for x in library.encode_ordinary(text))
+    monkeypatch.undo()
+    text = "a" + " " * 3_000_000 + "b"
+    assert codec.decode(np.frombuffer(codec.encode(text), "<u4").tolist()) == text.encode()
+
+
 def test_decodes_raw_bytes(spark):
     df = spark.createDataFrame([([0, 255, 128],), ([],), (None,)], "ids array<int>")
     codec = bpe.Codec(MULTI, PATTERN)

@@ -92,12 +92,16 @@ def test_cases(cases):
     assert len(out) == len(CASES)
     for r in out:
         texts = [t for i, t in CASES if i == r.doc_id]
-        if all(t is None or not langid._LETTER.search(t) for t in texts):
+        if all(t is None or not langid.has_letter(t) for t in texts):
             assert (r.lang_pred, r.score) == ("und", 0.0)
-        elif all(t and langid._LETTER.search(t) for t in texts):
+        elif all(t and langid.has_letter(t) for t in texts):
             assert r.lang_pred == "en"
 
 
+def test_letters():
+    assert [langid.has_letter(t) for t in ("½ ²", "12_", "", "½ a", "東", "́")] == [False, False, False, True, True, False]
+
+
 def test_nothing_to_learn(documents, spark):
     assert langid.op3(documents([]), PIECES).collect() == []
     rows = langid.op3(documents([(None, "some words"), (2, "two")]), PIECES).collect()
