@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -22,8 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestone.llm.common import appended, texts
@@ -146,12 +146,18 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def digest(ids: Column) -> Column:
-    """SHA-256 of the decimal ids joined by commas."""
-    return F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)
-
-
 def op2(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The columns of the op2 contract."""
-    rows = decode(encode(documents.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
-    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """The columns of the op2 contract: each text is encoded, its ids are decoded, and only digests leave the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for batch in batches:
+            n, encoded, decoded = [], [], []
+            for x in batch.column("text"):
+                ids = np.frombuffer(c.encode(x.as_py() or ""), "<u4").tolist()
+                n.append(len(ids))
+                encoded.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
