@@ -34,6 +34,8 @@ ITERATIONS = 2
 BLOCK = 48
 #: Texts whose distinct words are held at once.
 TEXTS = 4_000
+#: Words of one length that are scored at once.
+WORDS = 20_000
 LONGEST = 12
 UNDETERMINED = "und"
 #: Keeps products of probabilities within range: each character of a piece counts so many times its probability.
@@ -149,8 +151,8 @@ def log_likelihoods(v: Vocabulary, words: Iterable[str], p: np.ndarray) -> tuple
     """Where each distinct word stands, and the log-likelihoods (words x languages) there."""
     order, out, scaled = [], [np.zeros((0, p.shape[1]))], _scaled(v, p)
     for size, some in _by_length(words).items():
-        for i in range(0, len(some), 50_000):
-            part = some[i : i + 50_000]
+        for i in range(0, len(some), WORDS):
+            part = some[i : i + WORDS]
             out.append(np.log(np.maximum(forward(v, v.spans(part), scaled)[-1], 1e-300)) - size * np.log(_SCALE))
             order += part
     return dict(zip(order, range(len(order)))), np.concatenate(out)
@@ -160,8 +162,8 @@ def expected(v: Vocabulary, words: Counter, p: np.ndarray) -> np.ndarray:
     """Expected counts of the pieces over all segmentations of the counted words; p: one probability a piece."""
     out, scaled = np.zeros(len(v.pieces) + 2), _scaled(v, p[:, None])
     for size, some in _by_length(words).items():
-        for i in range(0, len(some), 50_000):
-            part = some[i : i + 50_000]
+        for i in range(0, len(some), WORDS):
+            part = some[i : i + WORDS]
             spans = v.spans(part)
             alpha = forward(v, spans, scaled)
             n = np.array([words[w] for w in part], float)
@@ -188,15 +190,17 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """Language and posterior of each text; each distinct word of the list is scored once."""
-        v, some = vocabulary(self.path), []
+        v, some, number = vocabulary(self.path), [], {}
         for text in texts:
-            some.append(blocks(text) if text and self.languages and has_letter(text) else None)
-        index, table = log_likelihoods(v, set().union(*(w for w in some if w)), self.p)
+            words = blocks(text) if text and self.languages and has_letter(text) else ()
+            some.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        index, table = log_likelihoods(v, number, self.p)
+        table = table[np.fromiter(map(index.__getitem__, number), np.int64, len(number))]
         for words in some:
-            if words is None:
+            if not len(words):
                 yield UNDETERMINED, 0.0
                 continue
-            total = table[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            total = table[words].sum(axis=0)
             chance = np.exp(total - total.max())
             best = int(total.argmax())
             yield self.languages[best], float(chance[best] / chance.sum())
