@@ -8,8 +8,9 @@ difference of its log-likelihoods under the two models; a text's is the mean ove
 so that long texts and short ones compare. A logistic curve over these, fitted on labelled rows that the counts leave out, turns
 evidence into a score.
 
-Counts cover all labelled rows whole. The model has a fixed number of slots (2**TABLE); where eight-grams share a slot the more
-frequent stays, so what is sent to the executors is bounded at any size. Only the curve is fitted on a bounded sample (CURVE rows).
+Counts cover all labelled rows whole, and every eight-gram stays. They are dealt by the BASE characters before the predicted one, so
+that each partition holds all that the orders above BASE need; the orders up to BASE are summed over the partitions. The executors get
+every seen eight-gram and context: what is sent grows with the distinct ones. Only the curve is fitted on a bounded sample (CURVE rows).
 
 Characters are told apart by their code modulo 253: those of Latin-1 all, others of different scripts not always.
 
@@ -28,17 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import appended, free_name, partitions
+from lodestone.llm.common import appended, checkpointed, free_name, partitions
 
-TABLE = 21
 CURVE = 20_000
 #: Bits of a character in a key, and characters of a key.
 STEP, ORDER = 8, 8
+#: Characters before the predicted one by which counts are dealt, and the order up to which the driver has the shared estimate.
+BASE = 3
 #: Occurrences that the shared estimate counts as in each context of a class.
 PULL = 6
 #: Words of the strongest evidence that a text is judged by.
 STRONGEST = (1, 3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: No key: a character's code is 254 at most.
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LETTER = np.zeros(128, bool)
 _LETTER[[*range(48, 58), *range(97, 123)]] = True
 
@@ -65,8 +69,35 @@ def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
     return keys, place
 
 
-def slot(keys: np.ndarray, bits: int = TABLE) -> np.ndarray:
-    return ((keys * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+def _home(keys: np.ndarray, size: int) -> np.ndarray:
+    return ((((keys * _MIX) >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+
+
+def laid_out(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """A hash table: every distinct key, in the first free place from its home on, and its value; half of the places stay empty."""
+    size = 2 * len(keys) + 1
+    home = _home(keys, size)
+    order, step = np.argsort(home, kind="stable"), np.arange(len(keys))
+    at = np.maximum.accumulate(home[order] - step) + step
+    places = max(size, int(at.max(initial=0)) + 1) + 1
+    own, held = np.full(places, _EMPTY), np.zeros(places, values.dtype)
+    own[at], held[at] = keys[order], values[order]
+    return own, held, size
+
+
+def look_up(table: tuple[np.ndarray, np.ndarray, int], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the keys, and whether each is in the table."""
+    own, held, size = table
+    at = _home(keys, size)
+    there = own[at]
+    found = there == keys
+    left = np.flatnonzero(~found & (there != _EMPTY))
+    while len(left):
+        at[left] += 1
+        there = own[at[left]]
+        found[left] = there == keys[left]
+        left = left[(there != keys[left]) & (there != _EMPTY)]
+    return held[at], found
 
 
 def _sum_by(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,36 +106,45 @@ def _sum_by(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return distinct, at, np.bincount(at, values, len(distinct))
 
 
-def _shared(keys: np.ndarray, counts: np.ndarray, discount: float) -> np.ndarray:
-    """Pooled Kneser-Ney probability of each ORDER-gram's last character, from the orders below."""
-    levels, grams, weights = [], keys, counts
-    for order in range(ORDER - 1, 0, -1):
-        lower = grams & np.uint64((1 << STEP * order) - 1)
-        distinct, at = np.unique(lower, return_inverse=True)
-        types, raw = np.bincount(at, minlength=len(distinct)).astype(float), np.bincount(at, weights, len(distinct))
-        # Nothing stands before a word, so n-grams at its start are weighed by occurrences, as is usual.
-        start = (distinct >> np.uint64(STEP * (order - 1))) == 0
-        levels.append((distinct, np.where(start & (order > 1), raw, types), at))
-        grams, weights = distinct, raw
-    p = np.empty(0)
-    for order, (distinct, n, _) in zip(range(1, ORDER), reversed(levels)):
-        if order == 1:
-            p = n / n.sum()
-        else:
-            _, at, total = _sum_by(distinct >> np.uint64(STEP), n)
-            types = np.bincount(at, minlength=len(total))
-            p = np.maximum(n - discount, 0) / total[at] + discount * types[at] / total[at] * p[levels[ORDER - order][2]]
-    return p[levels[0][2]]
+def _used(grams: np.ndarray, types: np.ndarray, occurrences: np.ndarray, order: int) -> np.ndarray:
+    """The counts that an order's estimate rests on."""
+    # Nothing stands before a word, so n-grams at its start are weighed by occurrences, as is usual.
+    start = (grams >> np.uint64(STEP * (order - 1))) == 0
+    return np.where(start & (order > 1), occurrences, types)
+
+
+def _interpolated(grams: np.ndarray, n: np.ndarray, discount: float, below: np.ndarray) -> np.ndarray:
+    _, at, total = _sum_by(grams >> np.uint64(STEP), n)
+    types = np.bincount(at, minlength=len(total))
+    return np.maximum(n - discount, 0) / total[at] + discount * types[at] / total[at] * below
+
+
+def _lower(grams: np.ndarray, occurrences: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+    """The n-grams of an order that end those of the order above: their types above, occurrences, and where each of those above is among them."""
+    distinct, at, total = _sum_by(grams & np.uint64((1 << STEP * order) - 1), occurrences)
+    return distinct, np.bincount(at, minlength=len(distinct)).astype(float), total, at
+
+
+def _shared(keys: np.ndarray, counts: np.ndarray, discount: float, order: int = ORDER, base: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Pooled Kneser-Ney probability of the last character of each n-gram of an order, from the orders below; from base (BASE-grams, sorted, and their probabilities) on if it is given."""
+    levels, grams, occurrences = [], keys, counts
+    for k in range(order - 1, BASE if base else 0, -1):
+        distinct, types, total, at = _lower(grams, occurrences, k)
+        levels.append((distinct, _used(distinct, types, total, k), at))
+        grams, occurrences = distinct, total
+    p = base[1][np.searchsorted(base[0], grams & np.uint64((1 << STEP * BASE) - 1))] if base else None
+    for distinct, n, at in reversed(levels):
+        p = (n / n.sum() if p is None else _interpolated(distinct, n, discount, p))[at]
+    return p
 
 
 @dataclass
 class Model:
     """Log-likelihood ratios of seen ORDER-grams and, for unseen ones, of seen contexts; and the curve.
 
-    Only seen keys are stored and sent; each worker lays them out by slot when it first needs them.
+    Only seen keys are stored and sent; each worker lays them out in hash tables when it first needs them.
     """
 
-    bits: int
     keys: np.ndarray
     ratio: np.ndarray
     contexts: np.ndarray
@@ -115,17 +155,10 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "laid"}
 
-    def by_slot(self) -> tuple[np.ndarray, ...]:
-        """ORDER-grams, their ratios, contexts and their ratios, each at its slot."""
+    def tables(self) -> tuple:
+        """The hash tables of ORDER-grams and of contexts."""
         if "laid" not in self.__dict__:
-            laid = []
-            for keys, values in ((self.keys, self.ratio), (self.contexts, self.backoff)):
-                at = slot(keys, self.bits)
-                for x in (keys, values):
-                    out = np.zeros(1 << self.bits, x.dtype)
-                    out[at] = x
-                    laid.append(out)
-            self.laid = tuple(laid)
+            self.laid = laid_out(self.keys, self.ratio), laid_out(self.contexts, self.backoff)
         return self.laid
 
     def evidence(self, text: str) -> tuple[float, ...]:
@@ -135,13 +168,11 @@ class Model:
         keys, place = symbols(text)
         if not len(keys):
             return (0.0,) * (1 + len(STRONGEST))
-        grams, ratio, contexts, backoff = self.by_slot()
-        at = slot(keys, self.bits)
-        out = ratio[at].astype(np.float64)
-        unseen = grams[at] != keys
-        context = keys[unseen] >> np.uint64(STEP)
-        at = slot(context, self.bits)
-        out[unseen] = np.where(contexts[at] == context, backoff[at], 0)
+        grams, contexts = self.tables()
+        ratio, seen = look_up(grams, keys)
+        out, unseen = ratio.astype(np.float64), ~seen
+        backoff, known = look_up(contexts, keys[unseen] >> np.uint64(STEP))
+        out[unseen] = np.where(known, backoff, 0)
         starts = np.flatnonzero(place == 0)
         words = np.add.reduceat(out, starts)
         most = max(STRONGEST)
@@ -155,15 +186,13 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -60), 60))))
 
 
-def estimate(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, prior: float, bits: int = TABLE) -> Model:
-    """The model, still without its curve, from the counts of distinct ORDER-grams of distinct slots."""
-    none = np.empty(0)
-    if not (toxic.sum() and ordinary.sum()):
-        return Model(bits, none, none, none, none, none, prior)
-    pooled = toxic + ordinary
-    ones, twos = (pooled == 1).sum(), (pooled == 2).sum()
-    discount = float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.95))
-    shared = _shared(keys, pooled, discount)
+def discount_of(ones: float, twos: float) -> float:
+    return float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.95))
+
+
+def ratios(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discount: float, base: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """The ratio of each ORDER-gram, the contexts and the ratio of each, from all ORDER-grams of these contexts."""
+    shared = _shared(keys, toxic + ordinary, discount, base=base)
     contexts, at = np.unique(keys >> np.uint64(STEP), return_inverse=True)
     chance, left = [], []
     for n in (toxic, ordinary):
@@ -171,7 +200,20 @@ def estimate(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, prior: f
         rest = (discount * types + PULL) / (total + PULL)
         chance.append(np.maximum(n - discount, 0) / (total + PULL)[at] + rest[at] * shared)
         left.append(rest)
-    return Model(bits, keys, np.log(chance[0] / chance[1]).astype(np.float32), contexts, np.log(left[0] / left[1]).astype(np.float32), none, prior)
+    return np.log(chance[0] / chance[1]).astype(np.float32), contexts, np.log(left[0] / left[1]).astype(np.float32)
+
+
+def empty(prior: float) -> Model:
+    none = np.empty(0)
+    return Model(none, none, none, none, none, prior)
+
+
+def estimate(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, prior: float) -> Model:
+    """The model, still without its curve, from the counts of all distinct ORDER-grams in one place."""
+    if not (toxic.sum() and ordinary.sum()):
+        return empty(prior)
+    pooled = toxic + ordinary
+    return Model(keys, *ratios(keys, toxic, ordinary, discount_of((pooled == 1).sum(), (pooled == 2).sum())), np.empty(0), prior)
 
 
 def fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -189,10 +231,27 @@ def fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return w
 
 
-def count_grams(rows: DataFrame, bits: int = TABLE) -> DataFrame:
-    """key, toxic, ordinary: each slot's most frequent ORDER-gram over all rows (text, toxic).
+def _summed(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """Distinct keys of the batches (key, toxic, ordinary), sorted, and their counts."""
+    held, rows = [], 0
 
-    Each batch is summed before it is sent; one shuffle by slot serves both sums.
+    def merged() -> tuple[np.ndarray, ...]:
+        every = [np.concatenate([h[k] for h in held]) if held else np.empty(0, t) for k, t in enumerate((np.uint64, float, float))]
+        distinct, at, toxic = _sum_by(every[0], every[1])
+        return distinct, toxic, np.bincount(at, every[2], len(distinct))
+
+    for batch in batches:
+        held.append((batch.column("key").to_numpy().view(np.uint64), *(batch.column(c).to_numpy().astype(float) for c in ("toxic", "ordinary"))))
+        rows += batch.num_rows
+        if rows > 1 << 21:
+            held, rows = [merged()], 0
+    return merged()
+
+
+def count_grams(rows: DataFrame) -> DataFrame:
+    """key, toxic, ordinary: every ORDER-gram over all rows (text, toxic), those with the same BASE characters before the last in one partition.
+
+    Each batch is summed before it is sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +263,49 @@ def count_grams(rows: DataFrame, bits: int = TABLE) -> DataFrame:
             both = [np.concatenate(p) if p else np.empty(0, np.uint64) for p in parts]
             keys, at = np.unique(np.concatenate(both), return_inverse=True)
             n = len(both[0])
-            yield pa.RecordBatch.from_arrays([pa.array(slot(keys, bits)), pa.array(keys.view(np.int64)), pa.array(np.bincount(at[n:], minlength=len(keys))), pa.array(np.bincount(at[:n], minlength=len(keys)))], names=["slot", "key", "toxic", "ordinary"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at[n:], minlength=len(keys))), pa.array(np.bincount(at[:n], minlength=len(keys)))], names=["key", "toxic", "ordinary"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, *counts = _summed(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts)], names=["key", "toxic", "ordinary"])
+
+    kind = "key bigint, toxic bigint, ordinary bigint"
+    dealt = F.shiftright("key", STEP).bitwiseAND(F.lit((1 << STEP * BASE) - 1))
+    return rows.select("text", "toxic").mapInArrow(run, kind).repartition(partitions(rows.sparkSession), dealt).mapInArrow(whole, kind)
+
+
+def modelled(grams: DataFrame, prior: float) -> Model:
+    """The model that estimate gives, from the counts as count_grams deals them."""
+    grams = checkpointed(grams)
+    pooled = F.col("toxic") + F.col("ordinary")
+    known = grams.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count_if(pooled == 1).alias("ones"), F.count_if(pooled == 2).alias("twos")).first()
+    if not (known["toxic"] and known["ordinary"]):
+        return empty(prior)
+    discount = discount_of(known["ones"], known["twos"])
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, toxic, ordinary = _summed(batches)
+        found, total = keys, toxic + ordinary
+        for order in range(ORDER - 1, BASE - 1, -1):
+            found, types, total, _ = _lower(found, total, order)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(types), pa.array(total)], names=["gram", "types", "total"])
+
+    below = grams.mapInArrow(lower, "gram bigint, types double, total double").groupBy("gram").agg(F.sum("types").alias("types"), F.sum("total").alias("total")).orderBy("gram").toArrow()
+    found, types, total = below["gram"].to_numpy().astype(np.uint64), below["types"].to_numpy(), below["total"].to_numpy()
+    base = found, _interpolated(found, _used(found, types, total, BASE), discount, _shared(found, total, discount, BASE))
+    sent = grams.sparkSession.sparkContext.broadcast(base)
 
-    counted = rows.select("text", "toxic").mapInArrow(run, "slot bigint, key bigint, toxic bigint, ordinary bigint")
-    summed = counted.repartition(partitions(rows.sparkSession), "slot").groupBy("slot", "key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    best = F.max(F.struct((F.col("toxic") + F.col("ordinary")).alias("n"), "key", "toxic", "ordinary"))
-    return summed.groupBy("slot").agg(best.alias("best")).select("best.key", "best.toxic", "best.ordinary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, toxic, ordinary = _summed(batches)
+        if len(keys):
+            ratio, contexts, backoff = ratios(keys, toxic, ordinary, discount, sent.value)
+            for k, r, of in ((keys, ratio, False), (contexts, backoff, True)):
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r), pa.array(np.full(len(k), of))], names=["key", "ratio", "context"])
+
+    out = grams.mapInArrow(run, "key bigint, ratio float, context boolean").toArrow()
+    sent.destroy()
+    keys, ratio, context = out["key"].to_numpy().view(np.uint64), out["ratio"].to_numpy(), out["context"].to_numpy()
+    return Model(keys[~context], ratio[~context], keys[context], ratio[context], np.empty(0), prior)
 
 
 def learned(doc_id):
@@ -217,15 +313,14 @@ def learned(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def fit(documents: DataFrame, labels: DataFrame, bits: int = TABLE, curve_rows: int = CURVE) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, curve_rows: int = CURVE) -> Model:
     """The model of all labelled documents that may be learned."""
     marks = labels.where(F.col("toxic").isNotNull() & learned(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = documents.select("doc_id", "text").where(learned(F.col("doc_id"))).join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "toxic")
     aside = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
     known = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     prior = float(known["t"] or 0) / max(1, known["n"])
-    grams = count_grams(rows.where(~aside), bits).toArrow()
-    model = estimate(*(grams.column(c).to_numpy().astype(t) for c, t in (("key", np.uint64), ("toxic", float), ("ordinary", float))), prior, bits)
+    model = modelled(count_grams(rows.where(~aside)), prior)
     if not len(model.keys):
         return model
     share = min(1.0, curve_rows / max(1, known["n"] / 5))

@@ -89,6 +89,34 @@ def test_rare_expressions_say_less():
     assert 0 < evidence(1) < evidence(5) < evidence(50)
 
 
+def test_hash_table_keeps_every_key():
+    rng = np.random.default_rng(1)
+    keys = np.unique(np.concatenate((rng.integers(0, 1 << 62, 50_000).astype(np.uint64), np.arange(300, dtype=np.uint64))))
+    table = toxicity.laid_out(keys[::2], np.arange(len(keys[::2]), dtype=np.float32))
+    values, found = toxicity.look_up(table, keys)
+    assert found[::2].all() and not found[1::2].any()
+    assert list(values[::2]) == list(range(len(keys[::2])))
+    assert not toxicity.look_up(toxicity.laid_out(keys[:0], np.empty(0)), keys)[1].any()
+
+
+def test_every_gram_stays(spark):
+    """Of thousands of distinct grams none is lost, and the model is that of all counts in one place."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefghijé東"), rng.integers(1, 12))) for _ in range(1500)]
+    texts = [(" ".join(rng.choice(words, 60)), int(k % 3 == 0)) for k in range(300)]
+    a, b = (Counter(g for t, mark in texts if mark == m for g in grams(t)) for m in (1, 0))
+    every = sorted(a.keys() | b.keys())
+    keys = np.array([packed(g) for g in every], np.uint64)
+    wanted = toxicity.estimate(keys, *(np.array([c[g] for g in every], float) for c in (a, b)), 0.5)
+    counts = toxicity.count_grams(spark.createDataFrame(texts, "text string, toxic int").repartition(4))
+    assert {(r.key % (1 << 64), r.toxic, r.ordinary) for r in counts.collect()} == {(packed(g), a[g], b[g]) for g in every}
+    got = toxicity.modelled(counts, 0.5)
+    for k, v in (("keys", "ratio"), ("contexts", "backoff")):
+        order = np.argsort(getattr(got, k))
+        assert list(getattr(got, k)[order]) == list(np.sort(getattr(wanted, k)))
+        assert getattr(got, v)[order] == pytest.approx(getattr(wanted, v)[np.argsort(getattr(wanted, k))], abs=1e-5)
+
+
 @pytest.fixture(scope="module")
 def larger(spark):
     d = "/root/testdata/sf0.1"
