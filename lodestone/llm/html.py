@@ -1,7 +1,8 @@
 """Main text of web pages by consensus host paths.
 
-Each page is parsed into elements; an element's score is the text of its own blocks outside links, half as much for the element
-around it. A path names the tags and classes from the root to an element, digits taken out, and is kept as a chained hash of these
+Each page is parsed into elements; an element's score is the text of its own blocks outside links. A page's best container is the
+smallest that holds nearly all of this text (NEARLY), so that an article in several parts stays whole; text outside articles, or else
+main parts, doesn't count where these hold a third of it. A path names the tags and classes from the root to an element, digits taken out, and is kept as a chained hash of these
 names, so that deep pages don't give long paths. Each page votes for the path of its best container; votes are summed for each host, and the host's winning path decides what is extracted from all of its pages, so
 that a page whose own best container is a sidebar or a comment thread follows the others. A page without the winning path gives
 its own best container.
@@ -33,6 +34,8 @@ from lodestone.llm.common import checkpointed
 #: Bytes of hosts and paths up to which they are sent to every executor, and the part of all pages from which a host is hot.
 SENT = 8 << 20
 HOT = 1 / 1000
+#: Part of a page's text that its best container holds at least.
+NEARLY = 0.9
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -110,8 +113,6 @@ def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
                 blocks.append((joined, here))
                 weight = plain if plain * 2 >= len(joined) else 0
                 containers[here].score += weight
-                if containers[here].around >= 0:
-                    containers[containers[here].around].score += weight / 2
             text.clear()
         plain = 0
 
@@ -174,17 +175,28 @@ def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
     return blocks, containers
 
 
-def best(containers: list[Container]) -> int:
-    """The number of the container that scores most; articles and main parts count double."""
-    weigh = lambda c: c.score * (2 if c.tag in ("article", "main") else 1)
-    return max(range(len(containers)), key=lambda i: (weigh(containers[i]), -i))
+def best(containers: list[Container]) -> tuple[int, float]:
+    """The number of the smallest container that holds nearly all the text that counts, and how much of it."""
+    n = len(containers)
+    for kind in ("article", "main", None):
+        inside = [False] * n
+        for i, c in enumerate(containers):
+            inside[i] = kind is None or c.tag == kind or (c.around >= 0 and inside[c.around])
+        held = [c.score * i for c, i in zip(containers, inside)]
+        for i in range(n - 1, 0, -1):
+            held[containers[i].around] += held[i]
+        if held[0] * 3 >= sum(c.score for c in containers) and held[0] > 0:
+            # Those that hold nearly all are around each other, the smallest last.
+            at = max(i for i in range(n) if held[i] >= NEARLY * held[0])
+            return at, held[at]
+    return 0, 0.0
 
 
 def vote(html: str) -> tuple[str, float]:
     """The path of a page's best container, and its score."""
     _, containers = parse(html)
-    top = containers[best(containers)]
-    return top.path, float(top.score)
+    top, score = best(containers)
+    return containers[top].path, float(score)
 
 
 def extract(html: str, path: str | None) -> str:
@@ -199,7 +211,7 @@ def extract(html: str, path: str | None) -> str:
 
     if path is not None and (text := below({i for i, c in enumerate(containers) if c.path == path})):
         return text
-    return below({best(containers)})
+    return below({best(containers)[0]})
 
 
 def host(url):

@@ -43,6 +43,16 @@ def test_host_path_decides(spark):
     assert texts[0] == ("words of an article " * 40).strip()
 
 
+def test_article_in_several_parts_stays_whole(spark):
+    parts = [f"{word} words of one part of the article " * n for word, n in (("first", 30), ("second", 20), ("third", 10))]
+    page = "<body><div class='story'>{}</div><div class='sidebar'><p>Popular things</p></div></body>".format("".join(f"<div class='part-{c}'><p>{t}</p></div>" for c, t in zip("abc", parts)))
+    wanted = "\n\n".join(t.strip() for t in parts)
+    assert html.extract(page, None) == wanted
+    assert {t for _, _, t, _ in got(rows(spark, [(k, f"http://p.example/{k}", page) for k in range(4)]))} == {wanted}
+    article = "<body><article><div class='a'><p>{}</p></div><div class='b'><p>{}</p></div></article><div class='zone'><p>talk</p></div></body>"
+    assert html.extract(article.format(*parts[:2]), None) == "\n\n".join(t.strip() for t in parts[:2])
+
+
 def test_cases(spark):
     pages = [
         (1, None, None), (2, "http://b.example", ""), (3, "no host", "plain words, no markup"), (3, "no host", "plain words, no markup"), (None, None, "<p>null id"), (5, "http://c.example/", "<div><p>cut off <b>anywhere</p><p>and so <"), (6, "http://c.example/6", "</div></p></x><!-- open"),
