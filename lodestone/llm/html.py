@@ -8,7 +8,8 @@ that a page whose own best container is a sidebar or a comment thread follows th
 its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by tag, role or class,
-are never part of a container. Character references are decoded; white space within a block becomes one space; blocks are trimmed
+are never part of a container. A class or id says so whole, or by the first or last of its hyphenated words ("ad-box", not
+"with-sidebar"); in the latter case the element stays if it holds most of the page's text outside links. Character references are decoded; white space within a block becomes one space; blocks are trimmed
 and joined by two line breaks.
 
 Defined cases: null html counts as empty and gives an empty text; a page without markup is one block; unclosed and stray tags,
@@ -58,7 +59,9 @@ _WORDS = frozenset(
 )
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 _NEVER = frozenset("html body article main".split())
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: First words of classes that say what a container has, not what it is.
+_HAVING = frozenset("has have having with without no is hide show".split())
 
 
 @dataclass
@@ -77,6 +80,7 @@ class Container:
     path: str
     tag: str
     around: int
+    doubtful: bool = False
     score: float = 0.0
     blocks: list[int] = field(default_factory=list)
 
@@ -85,15 +89,22 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _dropped(tag: str, attributes: dict[str, str]) -> bool:
+def _dropped(tag: str, attributes: dict[str, str]) -> int:
+    """Whether an element is dropped: 0 no, 1 unless it holds most of the page's text, 2 yes."""
     if tag in _DROP:
-        return True
+        return 2
     if not attributes or tag in _NEVER:
-        return False
+        return 0
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower() or attributes.get("role", "").lower() in _ROLES:
-        return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return bool(names.strip()) and not _WORDS.isdisjoint(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower().replace("-", " ").replace("_", " ").split())
+        return 2
+    found = 0
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        if name.lower() in _WORDS:
+            return 2
+        words = _CAMEL.sub("-", name).lower().replace("_", "-").strip("-").split("-")
+        if words[0] not in _HAVING and (words[0] in _WORDS or words[-1] in _WORDS):
+            found = 1
+    return found
 
 
 def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
@@ -164,15 +175,34 @@ def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
         if tag in _CONTAINER:
             classes = sorted({re.sub(r"\d+", "", c) for c in attributes.get("class", "").split()} - {""})
             path = xxhash.xxh3_128_hexdigest(f"{top.path}>{'.'.join([tag, *classes])}".encode("utf-8", "surrogatepass"))
-            if not (top.dropped or _dropped(tag, attributes)):
-                containers.append(Container(path, tag, container))
-                container = len(containers) - 1
+        drop = 2 if top.dropped else _dropped(tag, attributes)
+        if tag in _CONTAINER and drop < 2:
+            containers.append(Container(path, tag, container, drop == 1))
+            container = len(containers) - 1
         open_[tag] += 1
-        stack.append(Element(tag, path, top.dropped or _dropped(tag, attributes), container, top.link or tag == "a"))
+        stack.append(Element(tag, path, drop == 2 or (drop == 1 and tag not in _CONTAINER), container, top.link or tag == "a"))
     if at < len(html):
         said(html[at:])
     flush()
-    return blocks, containers
+    return _settled(blocks, containers) if any(c.doubtful for c in containers) else (blocks, containers)
+
+
+def _settled(blocks: list[tuple[str, int]], containers: list[Container]) -> tuple[list[tuple[str, int]], list[Container]]:
+    """Without the doubtful containers that hold at most half of the page's text, and all below them."""
+    held = [c.score for c in containers]
+    for i in range(len(containers) - 1, 0, -1):
+        held[containers[i].around] += held[i]
+    gone = [False] * len(containers)
+    for i, c in enumerate(containers):
+        gone[i] = (c.around >= 0 and gone[c.around]) or (c.doubtful and held[i] * 2 <= held[0])
+    number, kept = [], 0
+    for g in gone:
+        number.append(kept)
+        kept += not g
+    stay = [c for c, g in zip(containers, gone) if not g]
+    for c in stay:
+        c.around = number[c.around] if c.around >= 0 else -1
+    return [(b, number[i]) for b, i in blocks if not gone[i]], stay
 
 
 def best(containers: list[Container]) -> tuple[int, float]:

@@ -53,6 +53,15 @@ def test_article_in_several_parts_stays_whole(spark):
     assert html.extract(article.format(*parts[:2]), None) == "\n\n".join(t.strip() for t in parts[:2])
 
 
+def test_classes_of_articles_are_not_dropped():
+    rest = "<div class='ad-box'><p>Buy now</p></div><div class='sidebar'><p>Popular things</p></div><div id='cookie_bar'><p>We use them</p></div>"
+    for name in ("content with-sidebar", "post has-comments", "entry social-policy", "main-ad-free", "withSidebar"):
+        page = f"<body><div class='{name}'><p>{'words of the article ' * 20}</p><p>Its end.</p>{rest}</div>{rest}</body>"
+        assert html.extract(page, None) == ("words of the article " * 20).strip() + "\n\nIts end."
+    page = "<body><div class='comments'><p>{}</p></div><div class='text'><p>Short article.</p></div></body>"
+    assert html.extract(page.format("loud talk " * 50), None) == "Short article."
+
+
 def test_cases(spark):
     pages = [
         (1, None, None), (2, "http://b.example", ""), (3, "no host", "plain words, no markup"), (3, "no host", "plain words, no markup"), (None, None, "<p>null id"), (5, "http://c.example/", "<div><p>cut off <b>anywhere</p><p>and so <"), (6, "http://c.example/6", "</div></p></x><!-- open"),
