@@ -2,15 +2,18 @@
 
 Each page is parsed into elements; an element's score is the text of its own blocks outside links. A page's best container is the
 smallest that holds nearly all of this text (NEARLY), so that an article in several parts stays whole; text outside articles, or else
-main parts, doesn't count where these hold a third of it. A path names the tags and classes from the root to an element, digits taken out, and is kept as a chained hash of these
-names, so that deep pages don't give long paths. Each page votes for the path of its best container; votes are summed for each host, and the host's winning path decides what is extracted from all of its pages, so
+main parts, doesn't count where these hold a third of it. A path names the tags and classes from the root to an element, digits
+taken out, and is kept as a chained hash of these names, so that deep pages don't give long paths. Each page votes for the path of
+its best container; votes are summed for each host, and the host's winning path decides what is extracted from all of its pages, so
 that a page whose own best container is a sidebar or a comment thread follows the others. A page without the winning path gives
 its own best container.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by tag, role or class,
-are never part of a container. A class or id says so whole, or by the first or last of its hyphenated words ("ad-box", not
-"with-sidebar"); in the latter case the element stays if it holds most of the page's text outside links. Character references are decoded; white space within a block becomes one space; blocks are trimmed
-and joined by two line breaks.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by tag, role or class, are
+never part of a container. A class says so as a whole word. For groups of blocks (not paragraphs and headings), ids count too, and
+words in several parts that end in one of the list ("site-footer") or go on with a word of layout only ("ad-box"; not "related-work"
+or "with-sidebar"); these stay if they hold most of the page's text outside links. A header within an article that has a heading,
+and one named as an article's ("post-header"), is part of it. Character references are decoded; white space within a block becomes
+one space; blocks are trimmed and joined by two line breaks.
 
 Defined cases: null html counts as empty and gives an empty text; a page without markup is one block; unclosed and stray tags,
 and pages cut off anywhere, are taken as browsers would, near enough; a null url is a host of its own name, empty; repeated rows
@@ -20,9 +23,8 @@ vote each and give a row each. Ties go to the first container of a page and to t
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -38,14 +40,11 @@ HOT = 1 / 1000
 #: Part of a page's text that its best container holds at least.
 NEARLY = 0.9
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|textarea|svg|title|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^<>]*)>"
-    r"|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*\Z",
-    re.S | re.I,
-)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_UNQUOTED = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements whose content is text up to their end tag, whatever is in it.
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in "script style iframe textarea title xmp noframes noembed".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -53,15 +52,21 @@ _BLOCK = frozenset(
 _CONTAINER = frozenset("article body center div main section td html".split())
 _SELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = frozenset("ul ol dl table div section article main body td".split())
-_DROP = frozenset("nav header footer aside form button select menu head dialog object canvas audio video label input fieldset".split())
+_DROP = frozenset("nav footer aside form button select menu head dialog object canvas audio video label input fieldset svg template noscript".split())
+_GROUPS = frozenset("aside center details div dl figure footer form header li nav ol section table tbody td tr ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification paywall popup promo promotion related replies reply respond share sharing sidebar sidebars social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+#: What may follow one of these words in a class without changing what it says.
+_PLAIN = frozenset("area articles bar block body bottom box button buttons container content form group icons inner item items left line links list main message overlay panel posts right row section slot stories text thread top unit wrap wrapper zone".split())
+_HEADERS = frozenset("header masthead".split())
+_OF_ARTICLES = frozenset("article blog chapter content entry news page paper post section story text".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 _NEVER = frozenset("html body article main".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: First words of classes that say what a container has, not what it is.
-_HAVING = frozenset("has have having with without no is hide show".split())
+#: Whether an element stays: it does; if it holds most of the page's text; if it also has a heading within an article; it goes.
+STAYS, IF_MOST, IF_HEADED, GOES = range(4)
 
 
 @dataclass
@@ -71,130 +76,203 @@ class Element:
     dropped: bool
     container: int
     link: bool
+    heading: bool
 
 
 @dataclass
 class Container:
-    """A container's path, score, and the numbers of its first block and of the one behind its last."""
+    """A container's path and tag, the number of the one around it, on what it stays, and the text of its own blocks outside links."""
 
     path: str
     tag: str
     around: int
-    doubtful: bool = False
+    doubt: int = STAYS
     score: float = 0.0
-    blocks: list[int] = field(default_factory=list)
+    headed: bool = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _dropped(tag: str, attributes: dict[str, str]) -> int:
-    """Whether an element is dropped: 0 no, 1 unless it holds most of the page's text, 2 yes."""
+def _fate(tag: str, attributes: dict[str, str]) -> int:
+    """Whether an element stays: of STAYS, IF_MOST, IF_HEADED and GOES."""
     if tag in _DROP:
-        return 2
-    if not attributes or tag in _NEVER:
-        return 0
+        return GOES
+    if tag in _NEVER:
+        return STAYS
+    found = IF_HEADED if tag == "header" else STAYS
+    if not attributes:
+        return found
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower() or attributes.get("role", "").lower() in _ROLES:
-        return 2
-    found = 0
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        if name.lower() in _WORDS:
-            return 2
-        words = _CAMEL.sub("-", name).lower().replace("_", "-").strip("-").split("-")
-        if words[0] not in _HAVING and (words[0] in _WORDS or words[-1] in _WORDS):
-            found = 1
+        return GOES
+    group = tag in _GROUPS
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '') if group else ''}".split():
+        name = _CAMEL.sub("-", name).lower().replace("_", "-")
+        if name in _WORDS:
+            return max(IF_HEADED, found) if name in _HEADERS else GOES
+        words = [w for w in name.split("-") if w and not w.isdigit()]
+        if not group or not words:
+            continue
+        if words[-1] in _HEADERS and words[0] in _OF_ARTICLES:
+            continue
+        if words[-1] in _WORDS and words[0] not in ("has", "with", "without", "no", "is", "hide", "show") or words[0] in _WORDS and all(w in _PLAIN or w in _WORDS for w in words[1:]):
+            found = max(found, IF_HEADED if words[-1] in _HEADERS else IF_MOST)
     return found
 
 
+class _Stack:
+    """Open elements. A fence (a table, a list, a section ...) hides those around it from the end tags of others."""
+
+    def __init__(self):
+        self.elements = [Element("", "", False, 0, False, False)]
+        self.scopes: list[dict[str, list[int]]] = [{}]
+        self.fences: dict[str, list[int]] = {}
+
+    def push(self, e: Element) -> None:
+        if e.tag in _FENCE:
+            self.scopes.append({})
+            self.fences.setdefault(e.tag, []).append(len(self.elements))
+        self.scopes[-1].setdefault(e.tag, []).append(len(self.elements))
+        self.elements.append(e)
+
+    def find(self, tag: str) -> int:
+        """The place of the innermost open element of a tag that the place at hand can see; 0 for none."""
+        places = (self.fences if tag in _FENCE else self.scopes[-1]).get(tag)
+        return places[-1] if places else 0
+
+    def inside(self, tags: set[str]) -> int:
+        """The place of the innermost open element of the tags since the last fence, that included; 0 for none."""
+        return max((places[-1] for t in tags if (places := self.scopes[-1].get(t))), default=0)
+
+    def close(self, at: int) -> None:
+        while len(self.elements) > at:
+            e = self.elements.pop()
+            self.scopes[-1][e.tag].pop()
+            if e.tag in _FENCE:
+                self.scopes.pop()
+                self.fences[e.tag].pop()
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of a page's texts, start tags and end tags, kind being "text", "start" and "end".
+
+    Every character is looked at a bounded number of times: a quote that nothing closes is a character like others, and a tag that
+    nothing closes runs to the page's end.
+    """
+    size, at = len(html), 0
+    last = {q: html.rfind(q) for q in "\"'"}
+    while at < size:
+        lt = html.find("<", at)
+        if lt < 0:
+            lt = size
+        if lt > at:
+            yield "text", html[at:lt], ""
+        if lt == size:
+            return
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 2)
+            at = end + 3 if end >= 0 else size
+            continue
+        name = _NAME.match(html, lt + 1)
+        if not name:
+            if html[lt + 1 : lt + 2] in ("!", "?", "/"):
+                end = html.find(">", lt + 1)
+                at = end + 1 if end >= 0 else size
+            else:
+                yield "text", "<", ""
+                at = lt + 1
+            continue
+        end = name.end()
+        while True:
+            end = _UNQUOTED.match(html, end).end()
+            if end >= size or html[end] == ">":
+                break
+            quote = html[end]
+            end = html.find(quote, end + 1) + 1 if end < last[quote] else end + 1
+        if end >= size:
+            return
+        tag, raw, at = name[1].lower(), html[name.end() : end], end + 1
+        if html[lt + 1] == "/":
+            yield "end", tag, ""
+        elif tag in _RAW:
+            close = _RAW[tag].search(html, at)
+            at = close.start() if close else at if raw.endswith("/") else size
+        else:
+            yield "start", tag, raw
+
+
 def parse(html: str) -> tuple[list[tuple[str, int]], list[Container]]:
     """The page's blocks that are not dropped, each with the number of its container, and the containers."""
     blocks: list[tuple[str, int]] = []
     containers = [Container("", "", -1)]
-    stack, open_ = [Element("", "", False, 0, False)], Counter()
+    stack = _Stack()
     text: list[str] = []
-    plain = at = 0
+    plain = 0
 
     def flush() -> None:
         nonlocal plain
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                here = stack[-1].container
-                blocks.append((joined, here))
-                weight = plain if plain * 2 >= len(joined) else 0
-                containers[here].score += weight
+                top = stack.elements[-1]
+                blocks.append((joined, top.container))
+                containers[top.container].score += plain if plain * 2 >= len(joined) else 0
+                containers[top.container].headed |= top.heading
             text.clear()
         plain = 0
 
-    def close(i: int) -> None:
-        open_.subtract(e.tag for e in stack[i:])
-        del stack[i:]
-
     def said(raw: str) -> None:
         nonlocal plain
-        if raw and not stack[-1].dropped:
+        if raw and not stack.elements[-1].dropped:
             decoded = unescape(raw)
             text.append(decoded)
-            if not stack[-1].link:
+            if not stack.elements[-1].link:
                 plain += len(decoded)
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            said(html[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+    for kind, tag, raw in tokens(html):
+        if kind == "text":
+            said(tag)
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if kind == "end":
             if tag in _BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in _FENCE and tag not in _FENCE:
-                    break
+            if at := stack.find(tag):
+                stack.close(at)
             continue
         if tag == "br":
             said(" ")
         if tag in _BLOCK:
             flush()
-            ends = _SELF.get(tag, {"p"} if tag != "span" else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    close(i)
-                    break
-                if stack[i].tag in _FENCE:
-                    break
-        if tag in _VOID or m[4].endswith("/"):
+            if at := stack.inside(_SELF.get(tag, {"p"})):
+                stack.close(at)
+        if tag in _VOID or raw.endswith("/"):
             continue
-        attributes, top = _attributes(m[4]), stack[-1]
-        path = top.path
-        container = top.container
-        if tag in _CONTAINER:
+        attributes, top = _attributes(raw), stack.elements[-1]
+        path, container = top.path, top.container
+        fate = GOES if top.dropped else _fate(tag, attributes)
+        if tag in _CONTAINER or STAYS < fate < GOES:
             classes = sorted({re.sub(r"\d+", "", c) for c in attributes.get("class", "").split()} - {""})
             path = xxhash.xxh3_128_hexdigest(f"{top.path}>{'.'.join([tag, *classes])}".encode("utf-8", "surrogatepass"))
-        drop = 2 if top.dropped else _dropped(tag, attributes)
-        if tag in _CONTAINER and drop < 2:
-            containers.append(Container(path, tag, container, drop == 1))
-            container = len(containers) - 1
-        open_[tag] += 1
-        stack.append(Element(tag, path, drop == 2 or (drop == 1 and tag not in _CONTAINER), container, top.link or tag == "a"))
-    if at < len(html):
-        said(html[at:])
+            if fate < GOES:
+                containers.append(Container(path, tag, container, fate))
+                container = len(containers) - 1
+        stack.push(Element(tag, path, fate == GOES, container, top.link or tag == "a", top.heading or tag in _HEADINGS))
     flush()
-    return _settled(blocks, containers) if any(c.doubtful for c in containers) else (blocks, containers)
+    return _settled(blocks, containers) if any(c.doubt for c in containers) else (blocks, containers)
 
 
 def _settled(blocks: list[tuple[str, int]], containers: list[Container]) -> tuple[list[tuple[str, int]], list[Container]]:
-    """Without the doubtful containers that hold at most half of the page's text, and all below them."""
-    held = [c.score for c in containers]
+    """Without the doubtful containers that don't stay, and all below them."""
+    held, headed = [c.score for c in containers], [c.headed for c in containers]
     for i in range(len(containers) - 1, 0, -1):
         held[containers[i].around] += held[i]
-    gone = [False] * len(containers)
+        headed[containers[i].around] |= headed[i]
+    gone, inside = [False] * len(containers), [False] * len(containers)
     for i, c in enumerate(containers):
-        gone[i] = (c.around >= 0 and gone[c.around]) or (c.doubtful and held[i] * 2 <= held[0])
+        inside[i] = c.tag == "article" or (c.around >= 0 and inside[c.around])
+        stays = not c.doubt or held[i] * 2 > held[0] or (c.doubt == IF_HEADED and headed[i] and inside[i])
+        gone[i] = not stays or (c.around >= 0 and gone[c.around])
     number, kept = [], 0
     for g in gone:
         number.append(kept)

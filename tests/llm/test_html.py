@@ -1,6 +1,9 @@
 """op6 on pages made to show each rule, and on the fixture's pages."""
 
+import random
 import re
+import time
+from html import unescape
 
 from lodestone.llm import html
 
@@ -102,3 +105,57 @@ def test_fixture(spark):
         assert n == len(text) and text
         assert not re.search(r"</?\w+[^>]*>|&amp;|&lt;", text)
         assert all(b == " ".join(b.split()) and b for b in text.split("\n\n"))
+
+
+FRAMES = [
+    "<body><nav><a href='/'>Home</a></nav><article>{}</article><footer>Legal</footer></body>",
+    "<html><body><header><h1>The Site</h1></header><main><div class='post'>{}</div></main><aside>Popular</aside></body></html>",
+    "<body><div id=top class='site-header'><h1>The Site</h1></div><div class='wrap'><div class='entry-content'>{}</div><div class='comments-area'><p>So true, all of it</p></div></div></body>",
+    "<body><table><tr><td class='menu-left'><ul><li><a href=x>One</a></ul><td class='text'>{}</table></body>",
+    "<body><section class='notice'><p>We moved.</p></section><section class='story'>{}</section><form><p>Your name</p></form><div class='ad_box'>Buy</div></body>",
+]
+SHELLS = ["{}", "<div class='part-a'>{}</div>", "<section class='related-work'>{}</section>", "<div class='post-header'>{}</div>", "<div><div>{}</div></div>", "<blockquote>{}</blockquote>"]
+BLOCKS = ["<p>{}</p>", "<p class='related-work'>{}</p>", "<p id='share'>{}</p>", "<h2>{}</h2>", "<p>{}", "<p><b>{}</b><br></p>", "<ul><li>{}</li></ul>", "<pre>{}</pre>", "<p id=comments-policy>{}</p>"]
+NOISE = ["<div class='advert'>Buy now</div>", "<script>if (1 < 2) document.write('<p>x</p>');</script>", "<!-- <p>no</p> -->", "<aside><p>Also</p></aside>", "<div class='share-buttons'><p>Share it</p></div>", "<style>p > a {}</style>", ""]
+
+
+def test_pages_of_known_articles(spark):
+    """Every page, made from the blocks of an article, gives back just these, whatever frame, shells and noise are around them."""
+    dice = random.Random(4)
+    pages, wanted = [], {}
+    for k in range(400):
+        frame = k % len(FRAMES)
+        blocks, body = [], ""
+        while len(blocks) < 6:
+            some = [" ".join(dice.choice(("river", "stone", "a", "tall", "&", "été", "<b", "words")) for _ in range(dice.randint(8, 60))) for _ in range(dice.randint(1, 3))]
+            blocks += some
+            body += dice.choice(SHELLS).format("".join(dice.choice(BLOCKS).format(b.replace("&", "&amp;").replace("<", "&lt;")) for b in some)) + dice.choice(NOISE)
+        pages.append((k, f"https://frame{frame}.example/{k}", FRAMES[frame].format(body)))
+        wanted[k] = "\n\n".join(blocks)
+    texts = {i: t for i, _, t, _ in got(rows(spark, pages))}
+    assert {k: t for k, t in texts.items() if t != wanted[k]} == {}
+
+
+def test_fixture_pages_against_their_articles(spark):
+    """The fixture's pages each have one article element of paragraphs; cutting it out by pattern is the brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    wanted = {}
+    for r in df.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+        wanted[r.page_id] = "\n\n".join(b for b in blocks if b)
+    texts = {i: t for i, _, t, _ in got(df)}
+    assert {k for k, t in texts.items() if t != wanted[k]} == set()
+
+
+def test_time_grows_with_length_only():
+    for unit in ("<script ", "<center>", '<a href="', "<!--", "<li><center>", "<p '\"", "</b>", "<header>"):
+        began = time.perf_counter()
+        html.extract(unit * ((1 << 20) // len(unit)), None)
+        assert time.perf_counter() - began < 12, unit
+
+
+def test_marks_that_nothing_closes():
+    assert html.extract("<p>one <b title=\"x>two</b></p><p>three</p>", None) == "one two\n\nthree"
+    assert html.extract("<p>one</p><p>two <img src='a'", None) == "one\n\ntwo"
+    assert html.extract("<p>3 < 4 and <3</p><script src=x/><p>end</p>", None) == "3 < 4 and <3\n\nend"
