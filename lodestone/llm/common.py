@@ -7,6 +7,7 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +61,8 @@ def free_name(df: DataFrame, stem: str) -> str:
 def appended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """The batch with further columns."""
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+
+def with_fields(df: DataFrame, **types: str) -> T.StructType:
+    """The schema of df with further fields of named types."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in types.items())])

@@ -1,22 +1,24 @@
-"""Toxicity by class-conditional Kneser-Ney models over the characters of words.
-
-A word (a run of letters and digits, lower-cased) is a sequence of characters and an end mark, each predicted from up to seven
-characters before it within the word. The toxic and the ordinary model have eight-gram counts of their own and share every lower
-order: its Kneser-Ney continuation counts are pooled over both classes and count as PULL occurrences in each, so an expression
-that a class has hardly seen falls back to the same estimate in both and says little, however rare it is. A word's evidence is the
-difference of its log-likelihoods under the two models; a text's is the mean over all its characters and over its strongest words,
-so that long texts and short ones compare. A logistic curve over these, fitted on labelled rows that the counts leave out, turns
-evidence into a score.
-
-Counts cover all labelled rows whole, and every eight-gram stays. They are dealt by the BASE characters before the predicted one, so
-that each partition holds all that the orders above BASE need; the orders up to BASE are summed over the partitions. The executors get
-every seen eight-gram and context: what is sent grows with the distinct ones. Only the curve is fitted on a bounded sample (CURVE rows).
-
-Characters are told apart by their code modulo 253: those of Latin-1 all, others of different scripts not always.
+"""Toxicity by class-conditional Kneser-Ney models over the bytes of words.
+
+A word (a run of letters and digits, lower-cased, in UTF-8) is a sequence of bytes and an end mark, each predicted from up to seven
+bytes before it within the word, so that characters of every script are told apart. The toxic and the ordinary model have eight-gram
+counts of their own and share every lower order: its Kneser-Ney continuation counts are pooled over both classes. Beside Kneser-Ney's
+own interpolation weight the shared estimate counts as PULL occurrences in each class, so an expression that a class has hardly seen
+falls back to the same estimate in both and says little, however rare it is. A byte's evidence is the difference of its
+log-likelihoods under the two models. A text's is normalised by length: the mean over all its bytes, and the means over passages of
+STRONGEST words of WORD bytes, made of its strongest words, so that long texts and short ones compare. A logistic curve over these,
+fitted on labelled rows that the counts leave out, turns evidence into a score. Expressions of several words that are ordinary one by
+one have no evidence of their own.
+
+Every labelled row that may be learned is counted, whole, but for the curve's, which are a bounded sample (CURVE rows, a fifth at
+most). Counts are dealt by the BASE bytes before the predicted one, so that each partition holds all that the orders above BASE need;
+the orders up to BASE are summed over the partitions. The executors get the seen eight-grams and contexts whose evidence differs by
+LEAST or more from what would stand in for them (a context's for an eight-gram, none for a context), so no byte's evidence is moved by
+more than twice that; how many these are grows with the corpus.
 
 Defined cases: null text counts as empty; a text without words has no evidence and gets the score of evidence zero; a doc_id with
 several labels is toxic if any of them says so; labels that are null, or of documents that are absent, are not used; if either
-class has no rows, every text scores the share of toxic rows (0 without labels). Repeated rows are scored alike.
+class has no rows, every text scores the share of toxic rows (0 without labels). Repeated rows are scored alike and count each.
 """
 
 from __future__ import annotations
@@ -29,38 +31,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import appended, checkpointed, free_name, partitions
+from lodestone.llm.common import appended, checkpointed, free_name, partitions, with_fields
 
 CURVE = 20_000
-#: Bits of a character in a key, and characters of a key.
+#: Bits of a symbol in a key, and symbols of a key.
 STEP, ORDER = 8, 8
-#: Characters before the predicted one by which counts are dealt, and the order up to which the driver has the shared estimate.
+#: Symbols before the predicted one by which counts are dealt, and the order up to which the driver has the shared estimate.
 BASE = 3
 #: Occurrences that the shared estimate counts as in each context of a class.
-PULL = 6
-#: Words of the strongest evidence that a text is judged by.
-STRONGEST = (1, 3)
+PULL = 12
+#: Words, and bytes of each, of the passages of strongest words that a text is judged by.
+STRONGEST, WORD = (1, 3, 10), 8
+#: Evidence that must be between a gram and what stands in for it.
+LEAST = 0.1
+#: The mark behind a word; before one stands zero. Neither is a byte of a letter.
+_END = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: No key: a character's code is 254 at most.
+#: No key: no byte of UTF-8 has all bits set.
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LETTER = np.zeros(128, bool)
 _LETTER[[*range(48, 58), *range(97, 123)]] = True
 
 
 def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the ORDER-grams of a text's words (STEP bits a character, the predicted one lowest) and the position of each in its word."""
+    """Keys of the ORDER-grams of a text's words (STEP bits a byte, the predicted one lowest) and the position of each in its word."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     wide = codes >= 128
     letter = _LETTER[np.where(wide, 0, codes)] | (wide & (codes >= 0xAA) & ((codes < 0x2000) | (codes > 0x206F)) & (codes != 0x3000))
-    before = np.concatenate(([False], letter))
-    letter = np.concatenate((letter, [False]))
-    stay = letter | before
-    letter = letter[stay]
-    code = np.where(letter, np.concatenate((codes, [0]))[stay] % ((1 << STEP) - 3) + 2, 1).astype(np.uint64)
+    stay = letter | np.concatenate(([False], letter[:-1]))
+    spelt = np.where(letter, codes, _END)[stay].astype("<u4")
+    code = np.frombuffer(spelt.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") + (b"\x01" if len(letter) and letter[-1] else b""), np.uint8).astype(np.uint64)
     n = len(code)
     if n == 0:
         return code, np.empty(0, np.int64)
-    ends = np.flatnonzero(~letter)
+    ends = np.flatnonzero(code == _END)
     starts = np.concatenate(([0], ends[:-1] + 1))
     place = np.arange(n) - np.repeat(starts, ends - starts + 1)
     keys = code.copy()
@@ -126,7 +130,7 @@ def _lower(grams: np.ndarray, occurrences: np.ndarray, order: int) -> tuple[np.n
 
 
 def _shared(keys: np.ndarray, counts: np.ndarray, discount: float, order: int = ORDER, base: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Pooled Kneser-Ney probability of the last character of each n-gram of an order, from the orders below; from base (BASE-grams, sorted, and their probabilities) on if it is given."""
+    """Pooled Kneser-Ney probability of the last byte of each n-gram of an order, from the orders below; from base (BASE-grams, sorted, and their probabilities) on if it is given."""
     levels, grams, occurrences = [], keys, counts
     for k in range(order - 1, BASE if base else 0, -1):
         distinct, types, total, at = _lower(grams, occurrences, k)
@@ -142,7 +146,7 @@ def _shared(keys: np.ndarray, counts: np.ndarray, discount: float, order: int =
 class Model:
     """Log-likelihood ratios of seen ORDER-grams and, for unseen ones, of seen contexts; and the curve.
 
-    Only seen keys are stored and sent; each worker lays them out in hash tables when it first needs them.
+    Only telling keys are stored and sent; each worker lays them out in hash tables when it first needs them.
     """
 
     keys: np.ndarray
@@ -162,10 +166,8 @@ class Model:
         return self.laid
 
     def evidence(self, text: str) -> tuple[float, ...]:
-        """Mean ratio of all characters, and mean ratio of the strongest words."""
-        if not len(self.keys):
-            return (0.0,) * (1 + len(STRONGEST))
-        keys, place = symbols(text)
+        """Mean ratio of all bytes, and of the passages of strongest words."""
+        keys, place = symbols(text) if len(self.keys) or len(self.contexts) else ((), ())
         if not len(keys):
             return (0.0,) * (1 + len(STRONGEST))
         grams, contexts = self.tables()
@@ -173,11 +175,10 @@ class Model:
         out, unseen = ratio.astype(np.float64), ~seen
         backoff, known = look_up(contexts, keys[unseen] >> np.uint64(STEP))
         out[unseen] = np.where(known, backoff, 0)
-        starts = np.flatnonzero(place == 0)
-        words = np.add.reduceat(out, starts)
+        words = np.add.reduceat(out, np.flatnonzero(place == 0))
         most = max(STRONGEST)
         top = np.sort(np.partition(words, -most)[-most:] if len(words) > most else words)[::-1]
-        return (float(out.mean()), *(float(top[:k].sum()) / k for k in STRONGEST))
+        return (float(out.mean()), *(float(top[:k].sum()) / (k * WORD) for k in STRONGEST))
 
     def score(self, text: str) -> float:
         if not len(self.curve):
@@ -203,6 +204,14 @@ def ratios(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discount:
     return np.log(chance[0] / chance[1]).astype(np.float32), contexts, np.log(left[0] / left[1]).astype(np.float32)
 
 
+def telling(keys: np.ndarray, ratio: np.ndarray, contexts: np.ndarray, backoff: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, ...]:
+    """Those of the ORDER-grams and contexts of ratios() whose evidence differs enough from what stands in for them."""
+    far = np.abs(backoff) >= least
+    stand_in = np.where(far, backoff, 0)[np.searchsorted(contexts, keys >> np.uint64(STEP))]
+    own = np.abs(ratio - stand_in) >= least
+    return keys[own], ratio[own], contexts[far], backoff[far]
+
+
 def empty(prior: float) -> Model:
     none = np.empty(0)
     return Model(none, none, none, none, none, prior)
@@ -213,7 +222,7 @@ def estimate(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, prior: f
     if not (toxic.sum() and ordinary.sum()):
         return empty(prior)
     pooled = toxic + ordinary
-    return Model(keys, *ratios(keys, toxic, ordinary, discount_of((pooled == 1).sum(), (pooled == 2).sum())), np.empty(0), prior)
+    return Model(*telling(keys, *ratios(keys, toxic, ordinary, discount_of((pooled == 1).sum(), (pooled == 2).sum()))), np.empty(0), prior)
 
 
 def fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -298,8 +307,9 @@ def modelled(grams: DataFrame, prior: float) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, toxic, ordinary = _summed(batches)
         if len(keys):
-            ratio, contexts, backoff = ratios(keys, toxic, ordinary, discount, sent.value)
-            for k, r, of in ((keys, ratio, False), (contexts, backoff, True)):
+            # All grams of a context are in its partition.
+            grams, ratio, contexts, backoff = telling(keys, *ratios(keys, toxic, ordinary, discount, sent.value))
+            for k, r, of in ((grams, ratio, False), (contexts, backoff, True)):
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r), pa.array(np.full(len(k), of))], names=["key", "ratio", "context"])
 
     out = grams.mapInArrow(run, "key bigint, ratio float, context boolean").toArrow()
@@ -317,14 +327,14 @@ def fit(documents: DataFrame, labels: DataFrame, curve_rows: int = CURVE) -> Mod
     """The model of all labelled documents that may be learned."""
     marks = labels.where(F.col("toxic").isNotNull() & learned(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = documents.select("doc_id", "text").where(learned(F.col("doc_id"))).join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "toxic")
-    aside = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
-    known = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    known = documents.select("doc_id").join(marks, "doc_id").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     prior = float(known["t"] or 0) / max(1, known["n"])
+    share = min(1 / 5, curve_rows / max(1, known["n"]))
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))
     model = modelled(count_grams(rows.where(~aside)), prior)
-    if not len(model.keys):
+    if not (len(model.keys) or len(model.contexts)):
         return model
-    share = min(1.0, curve_rows / max(1, known["n"] / 5))
-    some = rows.where(aside & (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < int(share * (1 << 20))))
+    some = rows.where(aside)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +356,7 @@ def score(documents: DataFrame, model: Model, column: str = "toxicity", text: st
         for batch in batches:
             yield appended(batch, **{column: pa.array([sent.value.score(t or "") for t in batch.column(text).to_pylist()], pa.float64())})
 
-    return documents.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, `{column}` double")
+    return documents.mapInArrow(run, with_fields(documents, **{column: "double"}))
 
 
 def op5(documents: DataFrame, labels: DataFrame) -> DataFrame:
