@@ -6,8 +6,11 @@ over its words. No piece of the vocabulary reaches over a blank, so words can be
 once. The probabilities are learned by expectation maximisation over the same segmentations: expected piece counts of the labelled
 texts by forward and backward sums, starting from equal probabilities.
 
+Words of any length are summed whole: the sums of the last positions, as many as the longest piece has characters, are brought back
+into range every RESCALE characters. Of the vocabulary only runs of blanks are left out, as no word can have one.
+
 The model is fitted on at most about LANGUAGE_ROWS labelled rows of each language, chosen by a hash of the doc_id, whole texts;
-every row is scored whole. Words of more than BLOCK characters are scored in blocks of that length.
+every row is scored whole.
 
 Defined cases: null text, and text without any letter, is ``und`` with score 0; so is every text if nothing could be learned.
 Ties go to the language that sorts first. Repeated rows are scored alike. Rows without language or doc_id are never learned from.
@@ -27,16 +30,16 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import appended, free_name
+from lodestone.llm.common import appended, free_name, with_fields
 
 LANGUAGE_ROWS = 4_000
 ITERATIONS = 2
-BLOCK = 48
+#: Characters after which sums are rescaled, and those whose pieces are looked up at once.
+RESCALE, STRETCH = 32, 4096
 #: Texts whose distinct words are held at once.
 TEXTS = 4_000
-#: Words of one length that are scored at once.
-WORDS = 20_000
-LONGEST = 12
+#: Characters of words of one length that are scored at once, and words up to which all piece lengths are added in one step.
+CELLS, FEW = 300_000, 24
 UNDETERMINED = "und"
 #: Keeps products of probabilities within range: each character of a piece counts so many times its probability.
 _SCALE = 1000.0
@@ -50,7 +53,8 @@ class Vocabulary:
     """Pieces by a hash of their characters, in as many tables as collisions take."""
 
     def __init__(self, pieces: Iterable[str], bits: int = 18):
-        self.pieces = sorted({p for p in pieces if 0 < len(p) <= LONGEST and _START not in p[1:]})
+        self.pieces = sorted({p for p in pieces if p and _START not in p[1:]})
+        self.longest = max(map(len, self.pieces), default=1)
         self.unknown, self.absent = len(self.pieces), len(self.pieces) + 1
         self.bits, self.tables = bits, []
         hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
@@ -85,21 +89,28 @@ class Vocabulary:
             out[hit] = ids[at[hit]]
         return out
 
-    def spans(self, words: list[str]) -> list[np.ndarray]:
-        """For words of one length: for each piece length, from 1, the piece at each start (words x starts)."""
-        size = len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), size).astype(np.uint64) + np.uint64(1)
-        prefix = np.zeros((len(words), size + 1), np.uint64)
-        for j in range(size):
-            prefix[:, j + 1] = prefix[:, j] * _BASE + codes[:, j]
-        out, power = [], np.uint64(1)
-        for length in range(1, min(LONGEST, size) + 1):
+    def endings(self, codes: np.ndarray, a: int, b: int) -> np.ndarray:
+        """The pieces that end at each place from a to b of words given as codes (words x characters): places x lengths, from 1, x words."""
+        n, low = len(codes), max(0, a - self.longest + 1)
+        prefix = np.zeros((n, b - low + 1), np.uint64)
+        for j in range(low, b):
+            prefix[:, j - low + 1] = prefix[:, j - low] * _BASE + codes[:, j]
+        out, power = np.full((b - a, self.longest, n), self.absent, np.int32), np.uint64(1)
+        for length in range(1, min(self.longest, b) + 1):
             power = np.uint64((int(power) * int(_BASE)) & (2**64 - 1))
-            out.append(self.find(prefix[:, length:] - prefix[:, :-length] * power))
-        out[0][out[0] == self.absent] = self.unknown
+            first = max(a, length - 1)
+            if first < b:
+                ends = prefix[:, first - low + 1 :]
+                out[first - a :, length - 1] = self.find(ends - prefix[:, first - low + 1 - length : b - low + 1 - length] * power).T
+        out[:, 0][out[:, 0] == self.absent] = self.unknown
         return out
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """The characters of words of one length, counted from 1."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     """The ordinary pieces of a sentencepiece model file."""
@@ -107,12 +118,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i)))
 
 
-def blocks(text: str) -> list[str]:
-    """The text's words, lower-cased, each with the mark of a word's start; long ones in blocks."""
-    words = [_START + w for w in text.lower().split()]
-    if not words or max(map(len, words)) <= BLOCK:
-        return words
-    return [w[i : i + BLOCK] for w in words for i in range(0, len(w), BLOCK)]
+def words_of(text: str) -> list[str]:
+    """The text's words, lower-cased, each with the mark of a word's start."""
+    return [_START + w for w in text.lower().split()]
 
 
 def has_letter(text: str) -> bool:
@@ -127,56 +135,95 @@ def _by_length(words: Iterable[str]) -> dict[int, list[str]]:
     return out
 
 
-def forward(v: Vocabulary, spans: list[np.ndarray], p: np.ndarray) -> list[np.ndarray]:
-    """Scaled sums over the segmentations of each beginning; p: pieces x languages. Items: words x languages."""
-    n, size = spans[0].shape
-    alpha = [np.ones((n, p.shape[1]))]
-    for j in range(1, size + 1):
-        total = np.zeros((n, p.shape[1]))
-        for length in range(1, min(len(spans), j) + 1):
-            ids = spans[length - 1][:, j - length]
-            some = np.flatnonzero(ids != v.absent)
-            if len(some):
-                total[some] += alpha[j - length][some] * p[ids[some]]
-        alpha.append(total)
-    return alpha
+def _added(v: Vocabulary, sums: np.ndarray, ids: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The sum over piece lengths (of sums and ids, from 1) of the sums a piece goes on from, times its probability."""
+    if sums.shape[1] <= FEW:
+        return (sums * p[ids]).sum(axis=0)
+    total = np.zeros(sums.shape[1:])
+    for before, pieces in zip(sums, ids):
+        some = np.flatnonzero(pieces != v.absent)
+        if len(some):
+            total[some] += before[some] * p[pieces[some]]
+    return total
+
+
+def _rescaled(sums: np.ndarray, logs: np.ndarray) -> None:
+    """Brings sums into range, in place, and keeps the logarithms of what they were divided by."""
+    top = sums.max(axis=0)
+    sums /= top
+    logs += np.log(top)
+
+
+def forward(v: Vocabulary, words: list[str], p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By stretches of words of one length: the pieces that end there, the sums over the segmentations of each beginning that ends
+    there, and the logarithms to add to theirs (places x words x languages); p: pieces x languages. The first place of a stretch is
+    that of the last one's end, or the words' beginning."""
+    codes, most = _codes(words), v.longest
+    n, size = codes.shape
+    tail, behind = np.ones((1, n, p.shape[1])), np.zeros((1, n, p.shape[1]))
+    for a in range(0, size, STRETCH):
+        ids, kept = v.endings(codes, a, min(size, a + STRETCH)), len(tail)
+        sums = np.concatenate((tail, np.empty((len(ids), *tail.shape[1:]))))
+        logs = np.concatenate((behind, np.empty((len(ids), *tail.shape[1:]))))
+        for t in range(len(ids)):
+            at = kept + t
+            k = min(most, at)
+            sums[at] = _added(v, sums[at - k : at][::-1], ids[t, :k], p)
+            logs[at] = logs[at - 1]
+            if (a + t + 1) % RESCALE == 0:
+                _rescaled(sums[at - k + 1 : at + 1], logs[at - k + 1 : at + 1])
+        yield ids, sums[kept - 1 :], logs[kept - 1 :]
+        tail, behind = sums[-most:], logs[-most:]
 
 
 def _scaled(v: Vocabulary, p: np.ndarray) -> np.ndarray:
-    lengths = np.array([*map(len, v.pieces), 1, 0])
-    return p * (_SCALE ** np.minimum(lengths, LONGEST))[:, None]
+    return p * (_SCALE ** np.array([*map(len, v.pieces), 1, 0]))[:, None]
+
+
+def _parts(words: Iterable[str]) -> Iterator[tuple[int, list[str]]]:
+    """Words of one length, as many as are scored at once, with their length."""
+    for size, some in _by_length(words).items():
+        step = max(1, CELLS // size)
+        for i in range(0, len(some), step):
+            yield size, some[i : i + step]
 
 
 def log_likelihoods(v: Vocabulary, words: Iterable[str], p: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
     """Where each distinct word stands, and the log-likelihoods (words x languages) there."""
     order, out, scaled = [], [np.zeros((0, p.shape[1]))], _scaled(v, p)
-    for size, some in _by_length(words).items():
-        for i in range(0, len(some), WORDS):
-            part = some[i : i + WORDS]
-            out.append(np.log(np.maximum(forward(v, v.spans(part), scaled)[-1], 1e-300)) - size * np.log(_SCALE))
-            order += part
+    for size, part in _parts(words):
+        for _, sums, logs in forward(v, part, scaled):
+            last = sums[-1], logs[-1]
+        out.append(np.log(np.maximum(last[0], 1e-300)) + last[1] - size * np.log(_SCALE))
+        order += part
     return dict(zip(order, range(len(order)))), np.concatenate(out)
 
 
 def expected(v: Vocabulary, words: Counter, p: np.ndarray) -> np.ndarray:
     """Expected counts of the pieces over all segmentations of the counted words; p: one probability a piece."""
     out, scaled = np.zeros(len(v.pieces) + 2), _scaled(v, p[:, None])
-    for size, some in _by_length(words).items():
-        for i in range(0, len(some), WORDS):
-            part = some[i : i + WORDS]
-            spans = v.spans(part)
-            alpha = forward(v, spans, scaled)
-            n = np.array([words[w] for w in part], float)
-            beta = [np.zeros(len(part)) for _ in range(size)] + [np.ones(len(part))]
-            weight = n / np.maximum(alpha[-1][:, 0], 1e-300)
-            for start in range(size - 1, -1, -1):
-                for length in range(1, min(len(spans), size - start) + 1):
-                    ids = spans[length - 1][:, start]
-                    on = np.flatnonzero(ids != v.absent)
-                    if len(on):
-                        flow = scaled[ids[on], 0] * beta[start + length][on]
-                        beta[start][on] += flow
-                        out += np.bincount(ids[on], alpha[start][on, 0] * flow * weight[on], len(out))
+    for size, part in _parts(words):
+        stretches = list(forward(v, part, scaled))
+        ids = np.concatenate([s[0] for s in stretches])
+        alpha, logs = (np.concatenate([stretches[0][k][:1], *(s[k][1:] for s in stretches)])[:, :, 0] for k in (1, 2))
+        beta, behind = np.zeros((size + 1, len(part))), np.zeros((size + 1, len(part)))
+        beta[size] = 1
+        weight, whole = np.array([words[w] for w in part], float) / np.maximum(alpha[-1], 1e-300), logs[-1]
+        for start in range(size - 1, -1, -1):
+            k = min(v.longest, size - start)
+            for length in range(1, k + 1):
+                pieces = ids[start + length - 1, length - 1]
+                on = np.flatnonzero(pieces != v.absent)
+                if len(on):
+                    flow = scaled[pieces[on], 0] * beta[start + length][on]
+                    beta[start][on] += flow
+                    flow = alpha[start][on] * flow * weight[on]
+                    if size >= RESCALE:
+                        flow *= np.exp(logs[start][on] + behind[start + length][on] - whole[on])
+                    np.add.at(out, pieces[on], flow)
+            behind[start] = behind[start + 1]
+            if (size - start) % RESCALE == 0:
+                _rescaled(beta[start : start + k], behind[start : start + k])
     return out
 
 
@@ -192,7 +239,7 @@ class Model:
         """Language and posterior of each text; each distinct word of the list is scored once."""
         v, some, number = vocabulary(self.path), [], {}
         for text in texts:
-            words = blocks(text) if text and self.languages and has_letter(text) else ()
+            words = words_of(text) if text and self.languages and has_letter(text) else ()
             some.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
         index, table = log_likelihoods(v, number, self.p)
         table = table[np.fromiter(map(index.__getitem__, number), np.int64, len(number))]
@@ -239,7 +286,7 @@ def fit(documents: DataFrame, path: str, rows: int = LANGUAGE_ROWS, iterations:
             v, words = vocabulary(path), {}
             for batch in batches:
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                    words.setdefault(lang, Counter()).update(blocks(text))
+                    words.setdefault(lang, Counter()).update(words_of(text))
                 for lang, counted in words.items():  # words are held for one batch only
                     got = expected(v, counted, sent.value[lang])
                     on = np.flatnonzero(got)
@@ -265,7 +312,7 @@ def predict(documents: DataFrame, model: Model, language: str = "lang_pred", sco
                 got = list(sent.value.predict(part.column(text).to_pylist()))
                 yield appended(part, **{language: pa.array([g[0] for g in got], pa.string()), score: pa.array([g[1] for g in got], pa.float64())})
 
-    return documents.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, `{language}` string, `{score}` double")
+    return documents.mapInArrow(run, with_fields(documents, **{language: "string", score: "double"}))
 
 
 def op3(documents: DataFrame, path: str) -> DataFrame:

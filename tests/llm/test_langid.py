@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -58,14 +59,88 @@ def test_expected_counts(small):
     assert langid.expected(v, words, p[:, 0]) == pytest.approx(wanted)
 
 
-def test_vocabulary_finds_its_pieces():
+def test_vocabulary_finds_its_pieces(monkeypatch):
     v = langid.vocabulary(PIECES)
-    for word in ("▁the", "▁Straße", "été"):
-        spans = v.spans([word])
-        for length, ids in enumerate(spans, 1):
-            for start, number in enumerate(ids[0]):
-                piece = word[start : start + length]
-                assert number == (v.pieces.index(piece) if piece in v.pieces else v.unknown if length == 1 else v.absent)
+    assert v.longest == max(len(p) for p in v.pieces) >= 16
+    for stretch in (3, 4096):
+        for word in ("▁the", "▁Straße", "été", "▁representativesrelationship"):
+            codes = langid._codes([word])
+            for a in range(0, len(word), stretch):
+                for end, ids in enumerate(v.endings(codes, a, min(len(word), a + stretch)), a + 1):
+                    for length, number in enumerate(ids[:, 0], 1):
+                        piece = word[end - length : end] if length <= end else None
+                        assert number == (v.pieces.index(piece) if piece in v.pieces else v.unknown if length == 1 else v.absent)
+
+
+def whole_sum(v, word, p):
+    """Logarithm of the sum over all segmentations, in fractions of integers, which don't run out of range."""
+    number = {x: k for k, x in enumerate(v.pieces)}
+    sums = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        sums.append(sum((sums[i] * Fraction(p[number.get(word[i:j], v.unknown if j - i == 1 else v.absent)]) for i in range(max(0, j - v.longest), j)), Fraction(0)))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator), sums
+
+
+LONG = ["▁representatives", "▁" + "donaudampfschifffahrtsgesellschaft" * 6, "▁" + "東京都は" * 20, "▁" + "x" * 130]
+
+
+@pytest.mark.parametrize("stretch", [7, 4096])
+def test_long_words_over_the_whole_vocabulary(monkeypatch, stretch):
+    """Pieces of 16 characters and words of 200 count in full, also where a stretch or a rescaling cuts them."""
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    v = langid.vocabulary(PIECES)
+    assert "▁representatives" in v.pieces and len("▁representatives") == 16
+    p = np.random.default_rng(3).random((len(v.pieces) + 2, 2))
+    p[-1] = 0
+    p /= p.sum(axis=0)
+    p[v.pieces.index("▁representatives"), 0] = 0.01
+    index, table = langid.log_likelihoods(v, LONG, p)
+    for w in LONG:
+        for k in range(2):
+            assert table[index[w], k] == pytest.approx(whole_sum(v, w, p[:, k])[0], rel=1e-9)
+    word = LONG[1]
+    forwards, backwards = (whole_sum(v, word, p[:, 0])[1], [whole_sum(v, word[i:], p[:, 0])[1][-1] for i in range(len(word) + 1)])
+    wanted = np.zeros(len(v.pieces) + 2)
+    number = {x: k for k, x in enumerate(v.pieces)}
+    for i in range(len(word)):
+        for j in range(i + 1, min(len(word), i + v.longest) + 1):
+            piece = number.get(word[i:j], v.unknown if j - i == 1 else None)
+            if piece is not None:
+                wanted[piece] += float(2 * forwards[i] * Fraction(p[piece, 0]) * backwards[j] / forwards[-1])
+    assert langid.expected(v, Counter({word: 2}), p[:, 0]) == pytest.approx(wanted, rel=1e-6, abs=1e-9)
+
+
+def test_whole_query_by_brute_force(spark, documents):
+    """Language and posterior of every row from lists of segmentation sums, with the labelled rows and steps of the docstring."""
+    dice = np.random.default_rng(5)
+    vocabulary = {"a": ["der", "schnelle", "Fuchs", "springt"], "b": ["the", "quick", "fox", "jumps", "representatives"]}
+    texts = [(k, " ".join(dice.choice(vocabulary["ab"[k % 2]], 5)), "ab"[k % 2]) for k in range(24)] + [(50, "der fox", None), (51, None, "a"), (52, "12 ?", "b")]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.op3(rows, PIECES).collect()}
+    v = langid.vocabulary(PIECES)
+    number = {x: k for k, x in enumerate(v.pieces)}
+    p = {x: np.append(np.ones(len(v.pieces) + 1), 0) / (len(v.pieces) + 1) for x in "ab"}
+    for _ in range(langid.ITERATIONS):
+        for lang in "ab":
+            counts = np.zeros(len(v.pieces) + 2)
+            for i, t, own in texts:
+                if own == lang and t is not None and zlib.crc32(str(i).encode()) % 5 != 0:
+                    for w in langid.words_of(t):
+                        ahead = whole_sum(v, w, p[lang])[1]
+                        for i0 in range(len(w)):
+                            for j in range(i0 + 1, len(w) + 1):
+                                piece = number.get(w[i0:j], v.unknown if j - i0 == 1 else None)
+                                if piece is not None:
+                                    rest = whole_sum(v, w[j:], p[lang])[1][-1]
+                                    counts[piece] += float(ahead[i0] * Fraction(p[lang][piece]) * rest / ahead[-1])
+            p[lang] = langid.normalised(counts)
+    for i, t, _ in texts:
+        if t is None or not any(c.isalpha() for c in t):
+            assert got[i] == ("und", 0.0)
+            continue
+        logs = [sum(whole_sum(v, w, p[x])[0] for w in langid.words_of(t)) for x in "ab"]
+        assert got[i][0] == "ab"[int(logs[1] > logs[0])]
+        assert got[i][1] == pytest.approx(1 / (1 + math.exp(-abs(logs[1] - logs[0]))), abs=1e-6)
 
 
 def test_held_out_accuracy(spark):
