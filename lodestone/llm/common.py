@@ -35,6 +35,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Part of all rows from which a key is hot. No more than 1 / HOT keys can be.
+HOT = 1 / 1000
+
+
+def hot_keys(rows: DataFrame, key: str, hot: float = HOT) -> DataFrame | None:
+    """The keys (not null) that each hold more than the part ``hot`` of the rows, at most 1 / hot of them; None if there are none."""
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    found = counted.where(F.col("count") > rows.count() * hot).select(key).limit(int(1 / hot) + 1).toArrow()
+    return rows.sparkSession.createDataFrame(found) if found.num_rows else None
+
+
+def attached(rows: DataFrame, groups: DataFrame, key: str, hot: float = HOT) -> DataFrame:
+    """rows joined with groups, which has a row a key, without moving the rows of hot keys: what groups has for these is broadcast.
+
+    rows are read three times, so they should be written or cheap.
+    """
+    many = hot_keys(rows, key, hot)
+    if many is None:
+        return rows.join(groups, key)
+    many = F.broadcast(many)
+    return rows.join(F.broadcast(groups.join(many, key)), key).unionByName(rows.join(many, key, "left_anti").join(groups, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

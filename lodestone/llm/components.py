@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed
+from lodestone.llm.common import attached, checkpointed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbourhood."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    up = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    least = up.union(up.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+    return attached(up, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    moved = attached(down, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b), a != b; root is the least node of its component and has no row itself.
 
-    Work and state stay in DataFrames; the driver sees a count and a checksum a round. Rounds grow with the logarithm of the
+    Work and state stay in DataFrames; the driver sees a count, a checksum and the bounded number of hot nodes a round. Rounds grow with the logarithm of the
     largest component, squared at worst.
     """
     before, edges = None, checkpointed(edges.distinct())
@@ -34,4 +34,4 @@ def components(edges: DataFrame) -> DataFrame:
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after[0] == 0 or after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before, edges = after, checkpointed(_small_star(_large_star(edges)))
+        before, edges = after, checkpointed(_small_star(checkpointed(_large_star(edges))))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, free_name, partitions
+from lodestone.llm.common import attached, checkpointed, free_name, partitions
 from lodestone.llm.components import components
 
 WORDS = 4
@@ -34,6 +34,8 @@ DIFFER = 4
 SEGMENTS, BITS, CHAIN = 8, 8, 3
 #: Rows of a key from which it is dealt out in blocks, and the rows of a block.
 HOT = 12_000
+#: Part of the blocks of all hot keys from which a key's are broadcast.
+HOTTEST = 1 / 1000
 #: Members of a run of equal keys up to which its links are listed singly.
 SMALL = 12
 
@@ -146,18 +148,23 @@ def dealt(rows: DataFrame, distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """The filed rows with hot keys dealt to pairs of blocks, each pair under a key of its own.
 
     A key holds its own fingerprints and those of up to sixteen keys beside it, so a bound on the first, counted over eight rows
-    a fingerprint, bounds the second. The hot keys are at most 17 * 17 / hot of all rows and are joined like any table.
+    a fingerprint, bounds the second. The hot keys are at most 17 * 17 / hot of all rows and are joined like any table, but for
+    those that hold so many rows that there can only be few of them; these are broadcast.
     """
     own = distinct.select(F.explode(F.array(*[_own_keys(F.col("fp"), s) for s in range(SEGMENTS)])).alias("key"))
     many = own.groupBy("key").count().where(F.col("count") > hot // 17)
     beside = F.concat(F.array("key"), *[F.array(F.col("key").bitwiseXOR(F.lit(1 << i))) for i in range(BITS * (CHAIN - 1))])
-    many = checkpointed(many.select(F.explode(beside).alias("key"), "count").groupBy("key").agg((F.sum("count") / hot + 1).cast("int").alias("blocks")))
+    many = many.select(F.explode(beside).alias("key"), "count").groupBy("key").agg((F.sum("count") / hot + 1).cast("int").alias("blocks"))
+    many = checkpointed(many.select(F.col("key").cast("bigint").alias("key"), "blocks"))
     rows = rows.select(F.col("key").cast("bigint").alias("key"), "fp")
     if many.isEmpty():
         return rows
     n, own_block = F.col("blocks"), F.pmod(F.xxhash64("fp"), F.col("blocks").cast("bigint"))
+    # A row of the table has as many blocks as hot rows, so a part of all blocks is a part of all rows of hot keys.
+    most = many.agg(F.sum("blocks")).first()[0] * HOTTEST
+    few = F.broadcast(many.where(n > most))
+    joined = rows.join(few, "key").unionByName(rows.join(few, "key", "left_anti").join(many.where(n <= most), "key", "left"))
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(own_block, j.cast("bigint")) * n + F.greatest(own_block, j.cast("bigint")))
-    joined = rows.join(many.withColumn("key", F.col("key").cast("bigint")), "key", "left")
     places = F.when(n.isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(pairs)
     return joined.select("key", "fp", F.explode(places).alias("place")).select((F.col("key") * F.lit(2**32) + F.col("place")).alias("key"), "fp")
 
@@ -175,9 +182,10 @@ def near_duplicates(documents: DataFrame, words: int = WORDS) -> DataFrame:
     rows = checkpointed(fingerprints(documents, words))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp")))
-    members = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = members.join(members.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
+    linked = checkpointed(roots.union(roots.select("root", "root").distinct()).toDF("fp", "root").join(distinct, "fp"))
+    named = attached(linked, linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    alone = distinct.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return attached(rows, named.union(alone), "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def op8(documents: DataFrame) -> DataFrame:
