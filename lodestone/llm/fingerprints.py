@@ -1,13 +1,17 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions only.
 
 A text is lower-cased and split at white space; each run of five consecutive words is hashed to 63 bits. The sketch keeps every
-distinct hash below a fixed fraction of the hash range, so sketches of texts of any length are comparable: a hash is kept in one
-sketch exactly if it is kept in the other, the union of two sketches is the sketch of the union of their shingles, and the share
-of a small text's hashes that a large one holds estimates containment.
-
-Defined cases: null text counts as empty; an empty text (no words) has an empty sketch, and two empty sketches have likeness 1;
-a text of one to four words is one shingle; a text none of whose hashes lies below the threshold keeps its smallest hash, so that
-only texts without words have empty sketches (merge() honours this). Repeated shingles count once.
+distinct hash below a fixed fraction of the hash range, FRACTION. A short text, of which that would leave little, keeps all below a
+larger fraction, the largest power of a half that keeps about FEW hashes at most. A sketch carries its limit, and whatever compares
+or merges two sketches goes by the lower limit, so that a hash is kept in one exactly if it is kept in the other: the union of two
+sketches is a sketch of the union of their shingles, and the share of a small text's hashes that a large one holds estimates
+containment, without a bias by length.
+
+Defined cases: null text counts as empty; an empty text (no words) has a sketch without hashes, and two of these have likeness 1; a
+text of one to four words is one shingle; repeated shingles count once. Containment of a text without words is 1; of one with words,
+none of whose hashes lies below the common limit, it is null: the sketch is too thin to say. Likeness where neither has a hash below
+the common limit is 1 for equal sketches, otherwise 0. Rows that share a doc_id, or have none, are next to each other by their texts,
+and are in one range of the order.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from lodestone.llm.common import let, partitions
 
 WORDS = 5
 FRACTION = 1 / 8
+FEW = 64
+_WHOLE = 2**63 - 1
 
 
 def _limit(fraction: float) -> int:
-    return min(2**63 - 1, int(fraction * 2**63))
+    return min(_WHOLE, int(fraction * 2**63))
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -41,65 +47,82 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     return let(hashed, shingles)
 
 
-def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Column:
-    """The sorted sketch of a text: array<bigint>."""
+def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION, few: int = FEW) -> Column:
+    """The sketch of a text: struct<limit: bigint, hashes: array<bigint>>, the hashes ascending."""
 
     def keep(h: Column) -> Column:
-        return let(F.array_sort(F.array_distinct(F.filter(h, lambda x: x < F.lit(_limit(fraction))))), lambda s: F.when((F.size(s) > 0) | (F.size(h) == 0), s).otherwise(F.array(F.array_min(h))))
+        limit = F.when(F.size(h) <= few, F.lit(_WHOLE))
+        part = 1 / 2
+        while part > fraction:
+            limit = limit.when(F.size(h) * part <= few, F.lit(_limit(part)))
+            part /= 2
+        return let(limit.otherwise(F.lit(_limit(fraction))), lambda top: F.struct(top.alias("limit"), F.array_sort(F.filter(h, lambda x: x <= top)).alias("hashes")))
+
+    return let(F.array_distinct(shingle_hashes(text, words)), keep)
+
+
+def _below(a: Column, limit: Column) -> Column:
+    return F.when(a["limit"] == limit, a["hashes"]).otherwise(F.filter(a["hashes"], lambda x: x <= limit))
 
-    return let(shingle_hashes(text, words), keep)
 
+def _at_one_limit(a: Column, b: Column, body) -> Column:
+    """body of the hashes of two sketches below the lower of their limits."""
+    return let(F.least(a["limit"], b["limit"]), lambda top: let(F.struct(_below(a, top).alias("a"), _below(b, top).alias("b")), lambda both: body(both["a"], both["b"])))
 
-def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
-    """The sketch of both texts' shingles together."""
-    return let(F.array_sort(F.array_union(a, b)), lambda u: let(F.filter(u, lambda x: x < F.lit(_limit(fraction))), lambda s: F.when((F.size(s) > 0) | (F.size(u) == 0), s).otherwise(F.slice(u, 1, 1))))
+
+def merge(a: Column, b: Column) -> Column:
+    """The sketch of both texts' shingles together, at the lower limit."""
+    return F.struct(F.least(a["limit"], b["limit"]).alias("limit"), _at_one_limit(a, b, lambda x, y: F.array_sort(F.array_union(x, y))).alias("hashes"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of the shingle sets of two sketches, 0 to 1."""
-    return let(F.size(F.array_intersect(a, b)), lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
+
+    def share(x: Column, y: Column) -> Column:
+        return let(F.size(F.array_intersect(x, y)), lambda n: F.when(F.size(x) + F.size(y) == 0, (a == b).cast("double")).otherwise(n / (F.size(x) + F.size(y) - n)))
+
+    return _at_one_limit(a, b, share)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, 0 to 1; 1 for an a without words."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of a's shingles that b has, 0 to 1; 1 for an a without words, null where a's sketch is too thin to say."""
+    return F.when(F.size(a["hashes"]) == 0, F.lit(1.0)).otherwise(_at_one_limit(a, b, lambda x, y: F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))))
 
 
 def to_string(a: Column) -> Column:
-    """The sketch as text: 16 hexadecimal digits for each hash, ascending."""
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """The sketch as text: 16 hexadecimal digits for its limit and for each hash, ascending."""
+    return F.array_join(F.transform(F.concat(F.array(a["limit"]), a["hashes"]), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def _bucket(value: Column, splits: list[int]) -> Column:
-    """The number of splits below value, by binary search."""
-    table, steps = F.array(*[F.lit(s) for s in splits]), len(splits).bit_length()
-    jumps = F.array(*[F.lit(1 << (steps - 1 - k)) for k in range(steps)])
-    return F.aggregate(jumps, F.lit(0), lambda at, jump: F.when((at + jump <= len(splits)) & (F.get(table, at + jump - 1) < value), at + jump).otherwise(at))
+def _bucket(value: Column, splits: Column) -> Column:
+    """The number of splits (array<bigint>, ascending) below value, by binary search."""
+    jumps = F.array(*[F.lit(1 << k) for k in reversed(range(22))])
+    return F.aggregate(jumps, F.lit(0), lambda at, jump: F.when((at + jump <= F.size(splits)) & (F.get(splits, at + jump - 1) < value), at + jump).otherwise(at))
 
 
-def with_successor(df: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:
-    """df's rows with a struct ``successor`` of the given columns of the next row by descending key, after the last the first.
+def with_successor(df: DataFrame, key: str, tie: str, columns: list[str], **derived: Column) -> DataFrame:
+    """df's rows with further columns ``derived`` and a struct ``successor`` of the given columns of the next row by descending key,
+    after the last the first.
 
     A distributed lead(): keys are split at approximate quantiles into four ranges a shuffle partition; the rows of each range's
     largest key are also sent to the range above, behind its own rows, so that every range sees its successor in one shuffle
-    of the table. Null keys come last; equal keys are ordered by the tie column. A single row succeeds itself.
+    of the table. Derived columns are computed behind that shuffle. Null keys come last; equal keys are ordered by the tie column. A
+    single row succeeds itself.
     """
-    spark = df.sparkSession
-    n = 4 * partitions(spark)
-    found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n).alias("q"), F.max(key).alias("m")).first()
-    splits = sorted({*(found["q"] or []), *([] if found["m"] is None else [found["m"]])})
-    place = F.struct(F.lit(0).alias("range"), F.lit(False).alias("guest"))
-    if splits:
-        at = F.coalesce(_bucket(F.col(key), splits), F.lit(0))
-        above = F.when(F.col("__at") == len(splits) - 1, 0).otherwise(F.col("__at") + 1)
-        own, guest = (F.struct(c.alias("range"), F.lit(g).alias("guest")) for c, g in ((F.col("__at"), False), (above, True)))
-        is_last = F.coalesce(F.get(F.array(*[F.lit(s) for s in splits]), F.col("__at")) == F.col(key), F.lit(False))
-        df = df.withColumn("__at", at).withColumn("__place", F.explode(F.when(is_last, F.array(own, guest)).otherwise(F.array(own)))).drop("__at")
-    else:
-        df = df.withColumn("__place", place)
-    order = Window.partitionBy("__place.range").orderBy("__place.guest", F.col(key).desc_nulls_last(), F.col(tie))
+    n = 4 * partitions(df.sparkSession)
+    quantiles = F.coalesce(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n), F.array().cast("array<bigint>"))
+    known = df.agg(F.array_sort(F.array_distinct(F.filter(F.array_append(quantiles, F.max(key)), lambda x: x.isNotNull()))).alias("__splits"))
+    splits, at = F.col("__splits"), F.col("__at")
+    above = F.when(at >= F.size(splits) - 1, 0).otherwise(at + 1)
+    own, guest = (F.struct(c.alias("range"), F.lit(g).alias("guest")) for c, g in ((at, False), (above, True)))
+    is_last = F.coalesce(F.get(splits, at) == F.col(key), F.lit(False))
+    df = df.crossJoin(F.broadcast(known)).withColumn("__at", F.coalesce(_bucket(F.col(key), splits), F.lit(0)))
+    df = df.withColumn("__place", F.explode(F.when(is_last, F.array(own, guest)).otherwise(F.array(own)))).drop("__splits", "__at")
+    df = df.withColumns({"__range": F.col("__place.range"), "__guest": F.col("__place.guest")}).drop("__place")
+    df = df.repartition(partitions(df.sparkSession), "__range").withColumns(derived)
+    order = Window.partitionBy("__range").orderBy("__guest", F.col(key).desc_nulls_last(), F.col(tie))
     value = F.struct(*columns)
-    return df.withColumn("successor", F.coalesce(F.lead(value).over(order), F.first(value).over(order))).where(~F.col("__place.guest")).drop("__place")
+    return df.withColumn("successor", F.coalesce(F.lead(value).over(order), F.first(value).over(order))).where(~F.col("__guest")).drop("__range", "__guest")
 
 
 def edited_pairs(documents: DataFrame, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:
@@ -108,7 +131,7 @@ def edited_pairs(documents: DataFrame, words: int = WORDS, fraction: float = FRA
     Only doc_id and text are read. Rows that repeat a doc_id each keep a result of their own.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_successor(rows.withColumn("own", sketch(F.col("text"), words, fraction)), "doc_id", "text", ["text", "own"])
+    rows = with_successor(rows, "doc_id", "text", ["text", "own"], own=sketch(F.col("text"), words, fraction))
     n = F.char_length("text")
     part = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - part), F.substr(F.col("successor.text"), F.lit(1), part))
@@ -121,9 +144,9 @@ def op1(documents: DataFrame) -> DataFrame:
     own, changed, other = map(F.col, ("own", "changed", "other"))
     return edited_pairs(documents).select(
         "doc_id", "n_chars", "edited_sha256", to_string(own).alias("fingerprint"), to_string(changed).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, other).alias("near_next"),
-        containment(own, changed).alias("held_by_edited"), containment(own, other).alias("held_by_next"), F.size(own).cast("bigint").alias("n_hashes"),
+        containment(own, changed).alias("held_by_edited"), containment(own, other).alias("held_by_next"), F.size(own["hashes"]).cast("bigint").alias("n_hashes"),
     )
 
 
-def merge_all(sketches: list[Column], fraction: float = FRACTION) -> Column:
-    return reduce(lambda a, b: merge(a, b, fraction), sketches)
+def merge_all(sketches: list[Column]) -> Column:
+    return reduce(merge, sketches)

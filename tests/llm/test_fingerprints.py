@@ -32,12 +32,16 @@ def hashes(text):
 
 
 def sketch(text):
+    """Limit and hashes."""
     h = hashes(text)
-    return {x for x in h if x < 2**63 // 8} or ({min(h)} if h else set())
+    limit = next((min(2**63 - 1, 2**63 >> k) for k in range(3) if len(h) / 2**k <= 64), 2**60)
+    return limit, {x for x in h if x <= limit}
 
 
 def likeness(a, b):
-    return 1.0 if not a | b else len(a & b) / len(a | b)
+    limit = min(a[0], b[0])
+    x, y = ({h for h in s if h <= limit} for _, s in (a, b))
+    return len(x & y) / len(x | y) if x | y else float(a == b)
 
 
 def expected(rows):
@@ -48,7 +52,7 @@ def expected(rows):
         part = len(text) // 3
         edited = text[: len(text) - part] + other[:part]
         a, b, c = sketch(text), sketch(edited), sketch(other)
-        join = lambda s: "".join(f"{x:016x}" for x in sorted(s))
+        join = lambda s: "".join(f"{x:016x}" for x in [s[0], *sorted(s[1])])
         out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), join(a), join(b), round(likeness(a, b), 12), round(likeness(a, c), 12)))
     return sorted(out, key=str)
 
@@ -77,10 +81,30 @@ def test_merge_is_sketch_of_both(spark):
     a, b = " ".join(f"a{k}" for k in range(300)), "b c"
     row = spark.createDataFrame([(a, b)], "a string, b string").select(fps.merge(fps.sketch(F.col("a")), fps.sketch(F.col("b"))).alias("m"), fps.containment(fps.sketch(F.col("a")), fps.sketch(F.concat_ws(" ", "a", "a"))).alias("c")).first()
     both = hashes(a) | hashes(b)
-    assert set(row.m) == ({x for x in both if x < 2**63 // 8} or {min(both)})
+    assert (row.m.limit, set(row.m.hashes)) == (2**60, {x for x in both if x <= 2**60})
+    assert row.m.hashes == sorted(row.m.hashes)
     assert row.c == 1.0
 
 
+def test_contained_short_texts(spark):
+    """None of 100 short texts that a long one holds is said to be outside of it, and of those that it doesn't hold none to be inside."""
+    words = [f"w{k * k % 9973}x{k}" for k in range(4000)]
+    rows = [(" ".join(words[k * 40 : k * 40 + 8]), " ".join(words), " ".join(f"o{k}y{j}" for j in range(8))) for k in range(100)]
+    df = spark.createDataFrame(rows, "s string, l string, o string").select(*[fps.sketch(F.col(c)).alias(c) for c in "slo"])
+    found = df.select(fps.containment(F.col("s"), F.col("l")).alias("inside"), fps.containment(F.col("o"), F.col("l")).alias("outside"), fps.containment(F.col("s"), fps.merge(F.col("s"), F.col("o"))).alias("merged")).collect()
+    assert {r.inside for r in found} == {1.0, None} and {r.outside for r in found} == {0.0, None} and {r.merged for r in found} == {1.0}
+    assert sum(r.inside == 1.0 for r in found) > 20
+
+
+@pytest.mark.parametrize("n", [10, 40, 70, 150, 300, 600, 2000])
+def test_error_by_length(spark, n):
+    """Root mean square error of the likeness of a text and its edited text, by number of words: no more than 0.1 at any length."""
+    rows = [(" ".join(f"a{k}b{i}" for i in range(n)), " ".join([f"a{k}b{i}" for i in range(n * 2 // 3)] + [f"c{k}d{i}" for i in range(n - n * 2 // 3)])) for k in range(60)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(fps.likeness(fps.sketch(F.col("a")), fps.sketch(F.col("b")))).collect()]
+    true = [len(hashes(a) & hashes(b)) / len(hashes(a) | hashes(b)) for a, b in rows]
+    assert (sum((x - y) ** 2 for x, y in zip(got, true)) / len(rows)) ** 0.5 <= (0.1 if n > 64 else 1e-12)
+
+
 def test_estimates_containment_of_unequal_texts(spark):
     small = " ".join(f"w{k * k}" for k in range(400))
     large = small + " " + " ".join(f"v{k}" for k in range(40_000))
