@@ -81,11 +81,28 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL has it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def appended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """The batch with further columns."""
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
+def mapped(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any names: run sees and gives them as they are, Spark has them numbered in between."""
+    names = df.columns
+
+    def numbered(batches):
+        for batch in run(batch.rename_columns(names) for batch in batches):
+            yield batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
+
+    kinds = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(numbered, kinds).toDF(*schema.names)
+
+
 def with_fields(df: DataFrame, **types: str) -> T.StructType:
     """The schema of df with further fields of named types."""
     return T.StructType([*df.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in types.items())])

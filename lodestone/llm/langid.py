@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import appended, free_name, with_fields
+from lodestone.llm.common import appended, free_name, mapped, with_fields
 
 LANGUAGE_ROWS = 4_000
 ITERATIONS = 2
@@ -312,7 +312,7 @@ def predict(documents: DataFrame, model: Model, language: str = "lang_pred", sco
                 got = list(sent.value.predict(part.column(text).to_pylist()))
                 yield appended(part, **{language: pa.array([g[0] for g in got], pa.string()), score: pa.array([g[1] for g in got], pa.float64())})
 
-    return documents.mapInArrow(run, with_fields(documents, **{language: "string", score: "double"}))
+    return mapped(documents, run, with_fields(documents, **{language: "string", score: "double"}))
 
 
 def op3(documents: DataFrame, path: str) -> DataFrame:

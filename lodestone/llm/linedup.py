@@ -1,16 +1,24 @@
 """Line dedup by content-defined chunks of lines.
 
 A text is cut into lines and the lines into chunks: a chunk ends behind a line where a rolling hash over the last two line hashes
-falls into one class of EVERY, but not before it has two lines, and at MOST lines at the latest (runs of one and the same line have
-one rolling hash). A line of WORDS words or more is a chunk of its own. Where chunks end thus depends on the lines around, not on
-where they stand, and a passage moved to another place is cut as before. Chunks of two lines or more, and long lines, that occur
-again anywhere in the table are removed but for their first occurrence (the smallest doc_id, then the smallest text hash and place).
-A text none of whose chunks is removed stays byte for byte. Of a repeated passage of short lines the part before its first and
-behind its last boundary is not a whole chunk and stays.
+falls into one half of its range, but not before it has two lines. Where MOST lines come without such an end, it is where the rolling
+hash is greatest. Where chunks end thus depends on the lines around, not on where they stand, and a passage moved to another place is cut
+as before. A text is cut in CUTS ways at once, each with halves of its own, so that short passages have a whole chunk in one or another.
+Chunks of two lines or more that occur again anywhere in the table are removed but for their first occurrence (the smallest doc_id,
+then the smallest text hash and place).
+
+Of a repeated passage the lines before its first and behind its last end are not a whole chunk. They go as well: where a removed chunk
+has the same lines before or behind it as its first occurrence has, byte for byte, up to MOST lines and REACH characters a side, these
+are removed with it (unless a whole chunk is there in both, which goes by itself). A line that goes always has an equal one at an
+earlier place, so one copy of each stays.
+
+Beside the method, a line of WORDS words or more is a chunk of its own (None: no line is), because passages of over fifty words are to
+be found however many lines they have. A text none of whose chunks is removed stays byte for byte.
 
 Repeats are found by 128-bit hashes, counted with partial sums. Texts of possible repeats (a fixed-size bitmap of the repeated
 hashes finds them in a second scan; what it lets through besides only costs rows) are then grouped as they are, which compares
-their bytes: only if all chunks of a hash are one text are they removed.
+their bytes: only if all chunks of a hash are one text are they removed. Rows of very frequent chunks are not moved to meet what is
+proven of these.
 
 Defined cases: null text stays null and takes no part; empty lines count as lines, but chunks without any word are never removed;
 rows that repeat both doc_id and text share their decisions, so a chunk's first occurrence stays in all of them; null doc_ids
@@ -19,22 +27,25 @@ sort before others. A text all of whose lines are removed becomes empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import checkpointed, free_name
+from lodestone.llm.common import attached, checkpointed, free_name, mapped, quoted
 
-EVERY = 2
 MOST = 16
-WORDS = 50
+CUTS = 3
+WORDS: int | None = 50
+REACH = 4096
 BITMAP = 26
 _M = (1 << 64) - 1
-_PLACE = "doc_id bigint, th bigint, no int, h bigint, g bigint"
+_PLACE = "doc_id bigint, th bigint, start int, stop int, h bigint, g bigint, above bigint, below bigint, chunk string, before array<string>, after array<string>"
 
 
 def _line_hash(line: str) -> int:
@@ -43,35 +54,50 @@ def _line_hash(line: str) -> int:
 
 def is_long(line: str) -> bool:
     """Whether a line has WORDS words or more."""
-    return len(line) >= 2 * WORDS - 1 and len(line.split(None, WORDS)) >= WORDS
+    return WORDS is not None and len(line) >= 2 * WORDS - 1 and len(line.split(None, WORDS)) >= WORDS
 
 
-def chunks(text: str, every: int = EVERY, most: int = MOST) -> list[list[str]]:
-    """The lines of a text in content-defined chunks; the line breaks between them are left out."""
-    out, current, before = [], [], 0
-    for line in text.split("\n"):
+def rolling(lines: list[str]) -> list[int]:
+    """The hash of each line and the one before it."""
+    out, before = [], 0
+    for line in lines:
         here = _line_hash(line)
-        rolling = (before * 0x9E3779B97F4A7C15 + here) & _M
+        mixed = (before * 0x9E3779B97F4A7C15 + here) & _M
+        out.append((mixed ^ (mixed >> 29)) * 0xBF58476D1CE4E5B9 & _M)
         before = here
-        if is_long(line):
-            out += [current, [line]] if current else [[line]]
-            current = []
-            continue
-        current.append(line)
-        if len(current) >= most or len(current) >= 2 and (rolling ^ (rolling >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 61) % every == 0:
-            out.append(current)
-            current = []
-    if current:
-        out.append(current)
     return out
 
 
-def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """Number and text of the chunks that may be removed."""
-    for no, lines in enumerate(chunks(text)):
-        chunk = "\n".join(lines)
-        if len(lines) >= 2 and chunk and not chunk.isspace() or is_long(chunk):
-            yield no, chunk
+def chunks(hashes: list[int], long: list[bool], cut: int = 0) -> Iterator[tuple[int, int]]:
+    """The first line of each chunk and the one behind its last, in one of the ways to cut."""
+    start, bit = 0, 1 << (40 + cut)
+    for i, alone in enumerate(long):
+        if alone:
+            if start < i:
+                yield start, i
+            yield i, i + 1
+            start = i + 1
+            continue
+        stop = i + 1 if i > start and hashes[i] & bit else 0
+        if not stop and i + 1 - start >= MOST:
+            stop = max(range(start + 1, i + 1), key=lambda j: (hashes[j], j)) + 1
+        if stop:
+            yield start, stop
+            start = stop
+    if start < len(long):
+        yield start, len(long)
+
+
+def candidates(lines: list[str]) -> dict[tuple[int, int], tuple]:
+    """The chunks of all ways to cut that may be removed, with those above and below them (None for none)."""
+    long, hashes, out = [is_long(line) for line in lines], rolling(lines), {}
+    may = lambda a, b: (b - a >= 2 or long[a]) and any(line and not line.isspace() for line in lines[a:b])
+    for cut in range(CUTS):
+        spans = [x if may(*x) else None for x in chunks(hashes, long, cut)]
+        for above, here, below in zip([None, *spans], spans, [*spans[1:], None]):
+            if here:
+                out.setdefault(here, (above, below))
+    return out
 
 
 def _hashes(chunk: str) -> tuple[int, int]:
@@ -80,24 +106,55 @@ def _hashes(chunk: str) -> tuple[int, int]:
     return signed(xxhash.xxh64_intdigest(data, 1)), signed(xxhash.xxh64_intdigest(data, 2))
 
 
-def places(documents: DataFrame, bitmap=None) -> DataFrame:
-    """A row for each candidate chunk: its document, number and hashes; with a bitmap, only those it has, with their texts."""
+def _near(lines: Iterable[str]) -> list[str]:
+    """The first lines, MOST and REACH characters at most."""
+    out, size = [], 0
+    for line in itertools.islice(lines, MOST):
+        size += len(line) + 1
+        if size > REACH:
+            break
+        out.append(line)
+    return out
+
+
+def _hashed(text: str | None) -> tuple[list[str], dict, dict]:
+    """The lines of a text, its candidates and their hashes."""
+    lines = (text or "").split("\n")
+    found = candidates(lines)
+    return lines, found, {x: _hashes("\n".join(lines[slice(*x)])) for x in found}
+
+
+def hashes_of(documents: DataFrame) -> DataFrame:
+    """The hashes h and g of every candidate chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [x for text in batch.column("text").to_pylist() if text for x in _hashed(text)[2].values()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], names=["h", "g"])
+
+    return documents.select("text").mapInArrow(run, "h bigint, g bigint")
+
+
+def places(documents: DataFrame, bitmap) -> DataFrame:
+    """A row for each candidate chunk that the bitmap has: its document, lines and hashes, the first hashes of the candidates above and
+    below it (0 for none), its text and the lines next to it, nearest first."""
+    fields = T._parse_datatype_string(_PLACE)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.string(), *[pa.list_(pa.string())] * 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else bitmap.value
+        bits = bitmap.value
         for batch in batches:
-            ids, ths, nos, hs, gs, found = [], [], [], [], [], []
+            rows = []
             for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))):
-                for no, chunk in candidates(text or ""):
-                    h, g = _hashes(chunk)
-                    if bits is None or bits[(h & _M) >> (64 - BITMAP + 3)] >> ((h >> (64 - BITMAP)) & 7) & 1:
-                        ids.append(doc_id), ths.append(th), nos.append(no), hs.append(h), gs.append(g)
-                        found.append(chunk if bits is not None else None)
-            columns = [pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(nos, pa.int32()), pa.array(hs, pa.int64()), pa.array(gs, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(found, pa.string())] if bits is not None else []), names=["doc_id", "th", "no", "h", "g", "chunk"][: 5 + (bits is not None)])
+                lines, found, hashes = _hashed(text)
+                for (start, stop), (h, g) in hashes.items():
+                    if bits[(h & _M) >> (64 - BITMAP + 3)] >> ((h >> (64 - BITMAP)) & 7) & 1:
+                        above, below = (hashes[x][0] if x else 0 for x in found[start, stop])
+                        upwards, downwards = lines[max(0, start - MOST) : start][::-1], lines[stop : stop + MOST]
+                        rows.append((doc_id, th, start, stop, h, g, above, below, "\n".join(lines[start:stop]), _near(upwards), _near(downwards)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=fields.names)
 
-    rows = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, _PLACE if bitmap is None else f"{_PLACE}, chunk string")
+    return documents.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, fields)
 
 
 def bitmap_of(repeated: DataFrame):
@@ -111,45 +168,61 @@ def bitmap_of(repeated: DataFrame):
 
 
 def removals(documents: DataFrame) -> DataFrame:
-    """doc_id, th (a hash of the text) and the numbers of the chunks to remove, for each text that has any."""
-    at = F.struct("doc_id", "th", "no")
-    found = checkpointed(places(documents))
-    repeated = checkpointed(found.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"))
-    texts = places(documents, bitmap_of(repeated)).groupBy("h", "g", "chunk").agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    """doc_id, th (a hash of the text) and the chunks to remove, with the lines next to their first occurrences, for each text that has any."""
+    repeated = checkpointed(hashes_of(documents).groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"))
+    found = checkpointed(places(documents, bitmap_of(repeated)))
+    first = F.min(F.struct("doc_id", "th", "start", "above", "below", "before", "after")).alias("first")
+    texts = found.groupBy("h", "g", "chunk").agg(first, F.count("*").alias("n"))
     proven = texts.groupBy("h", "g").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n")).where("texts = 1 and n > 1")
-    gone = found.join(checkpointed(proven.select("h", "g", "first")), ["h", "g"]).where(~at.eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("gone"))
+    proven = checkpointed(proven.select("h", F.col("g").alias("of"), "first"))
+    rows = found.select("doc_id", "th", "start", "stop", "h", "g", "above", "below")
+    same = F.struct("doc_id", "th", "start").eqNullSafe(F.struct("first.doc_id", "first.th", "first.start"))
+    gone = attached(rows, proven, "h").where((F.col("g") == F.col("of")) & ~same)
+    # Equal candidates next to equal chunks go by themselves.
+    lines = [F.when((F.col(own) == 0) | (F.col(own) != F.col(f"first.{own}")), F.col(f"first.{side}")).alias(side) for own, side in (("above", "before"), ("below", "after"))]
+    return gone.select("doc_id", "th", F.struct("start", "stop", *lines).alias("gone")).groupBy("doc_id", "th").agg(F.collect_set("gone").alias("gone"))
 
 
-def without(text: str | None, gone: list[int] | None) -> str | None:
+def without(text: str | None, gone: list[dict] | None) -> tuple[str | None, int]:
+    """The text without the chunks and the lines next to them that are as those next to their first occurrences, and the number of lines gone."""
     if text is None or not gone:
-        return text
-    drop = set(gone)
-    return "\n".join(line for no, lines in enumerate(chunks(text)) if no not in drop for line in lines)
+        return text, 0
+    lines = text.split("\n")
+    stay = [True] * len(lines)
+    for one in gone:
+        start, stop = one["start"], one["stop"]
+        for other in one["before"] or ():
+            if not start or lines[start - 1] != other:
+                break
+            start -= 1
+        for other in one["after"] or ():
+            if stop == len(lines) or lines[stop] != other:
+                break
+            stop += 1
+        stay[start:stop] = [False] * (stop - start)
+    return "\n".join(itertools.compress(lines, stay)), len(lines) - sum(stay)
 
 
 def remove_repeats(documents: DataFrame, counter: str | None = None) -> DataFrame:
-    """documents with repeated chunks removed from text, and, if named, the number of chunks removed in another column."""
+    """documents with repeated chunks removed from text, and, if named, the number of lines removed in another column."""
     left = documents.columns
     th, gone, of, on = (free_name(documents, x) for x in ("th", "gone", "of", "on"))
     found = removals(documents).select(F.col("doc_id").alias(of), F.col("th").alias(on), F.col("gone").alias(gone))
     rows = documents.withColumn(th, F.xxhash64("text"))
-    rows = rows.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(th) == F.col(on)), "left").select(*[f"`{c}`" for c in left], gone)
+    rows = rows.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(th) == F.col(on)), "left").select(*[quoted(c) for c in left], gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = left.index("text")
         for batch in batches:
-            gones = batch.column(gone).to_pylist()
-            texts = pa.array([without(t, g) for t, g in zip(batch.column("text").to_pylist(), gones)], pa.string())
-            columns = [texts if i == at else c for i, c in enumerate(batch.columns[: len(left)])]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array([len(g or ()) for g in gones], pa.int64())] if counter else []), names=left + ([counter] if counter else []))
+            got = [without(t, g) for t, g in zip(batch.column(at).to_pylist(), batch.column(len(left)).to_pylist())]
+            columns = [pa.array([g[0] for g in got], pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(left)])]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array([g[1] for g in got], pa.int64())] if counter else []), names=left + ([counter] if counter else []))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return rows.mapInArrow(run, schema + (f", `{counter}` bigint" if counter else ""))
+    return mapped(rows, run, T.StructType(documents.schema.fields + ([T.StructField(counter, T.LongType())] if counter else [])))
 
 
 def op4(documents: DataFrame) -> DataFrame:
-    """doc_id, the text without repeated chunks, and how many were removed, of every document."""
+    """doc_id, the text without repeated chunks, and how many lines were removed, of every document."""
     return remove_repeats(documents.select("doc_id", "text"), "removed")
 
 

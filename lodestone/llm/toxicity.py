@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import appended, checkpointed, free_name, partitions, with_fields
+from lodestone.llm.common import appended, checkpointed, free_name, mapped, partitions, with_fields
 
 CURVE = 20_000
 #: Bits of a symbol in a key, and symbols of a key.
@@ -356,7 +356,7 @@ def score(documents: DataFrame, model: Model, column: str = "toxicity", text: st
         for batch in batches:
             yield appended(batch, **{column: pa.array([sent.value.score(t or "") for t in batch.column(text).to_pylist()], pa.float64())})
 
-    return documents.mapInArrow(run, with_fields(documents, **{column: "double"}))
+    return mapped(documents, run, with_fields(documents, **{column: "double"}))
 
 
 def op5(documents: DataFrame, labels: DataFrame) -> DataFrame:
