@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import attached, checkpointed
 
+#: Edges that one task can take, so that no node need be looked for that has a large part of them.
+ROOM = 1_000_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _met(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Each edge's b as a, with what least has for its a as b."""
+    rows = attached(edges, least, "a") if n > ROOM else edges.join(least, "a")
+    return rows.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbourhood."""
     up = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     least = up.union(up.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-    return attached(up, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    out = _met(up, least, n).distinct()
+    return checkpointed(out) if n > ROOM else out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = attached(down, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return _met(down, least, n).union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,4 +43,4 @@ def components(edges: DataFrame) -> DataFrame:
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after[0] == 0 or after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before, edges = after, checkpointed(_small_star(checkpointed(_large_star(edges))))
+        before, edges = after, checkpointed(_small_star(_large_star(edges, after[0]), after[0]))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from lodestone.llm import components as star
 from lodestone.llm import simhash
 
 from .conftest import CASES
@@ -100,3 +101,24 @@ def test_one_of_each(cases):
     ids = [r.doc_id for r in stay.collect()]
     assert sorted(ids, key=str) == sorted({c for c in component.values()}, key=str)
     assert stay.columns == cases.columns
+
+
+@pytest.mark.parametrize("room", [1_000_000, 0])
+def test_components_of_stars_chains_and_random_edges(spark, monkeypatch, room):
+    """With and without a search for nodes that have a large part of the edges."""
+    monkeypatch.setattr(star, "ROOM", room)
+    dice = random.Random(3)
+    edges = [(dice.randint(0, 400), dice.randint(0, 400)) for _ in range(250)] + [(1000, k) for k in range(1001, 1300)] + [(k, k + 1) for k in range(2000, 2060)]
+    edges = [e for e in edges if e[0] != e[1]]
+    at = {}
+
+    def root(x):
+        while at.setdefault(x, x) != x:
+            x = at[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        at[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in star.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: root(x) for x in at if root(x) != x}
