@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.session import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
-
-    Where none is set, a local master gets a temporary folder (tests); any other master is refused, because executors on other
-    machines could not read it.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return context.getCheckpointDir()
+#: The folder that all executors share: the session's ``spark.checkpoint.dir``.
+shared_folder = scratch
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
