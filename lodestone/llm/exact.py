@@ -1,10 +1,11 @@
 """Exact dedup by content sort.
 
-Texts are normalised (A-Z to lower case) and sorted by content over the whole cluster: splitters from a bounded sample cut the
-order of (first bytes, digest, doc_id) into ranges, one a shuffle partition; each partition is sorted externally, which places
+Texts are normalised (A-Z to lower case) and sorted by their bytes over the whole cluster: splitters from a sample, weighted by bytes,
+cut the order of (normalised bytes, doc_id) into ranges, one a shuffle partition; each partition is sorted externally, which places
 equal texts side by side; each row is compared in full with the one before it. The doc_id in the order lets a group of copies
 that holds much of the table spread over many partitions. Runs that touch a partition's border are joined across it, again by
-comparing texts, so the driver only sees two counts and ids for each border.
+comparing texts, so the driver only sees counts and ids for each border. A splitter is the first PREFIX bytes of a text if these tell it from
+the sampled text before it, and the whole text if not; there are fewer of these than ranges.
 
 Defined cases: null text counts as empty, and all empty texts are equal; repeated rows are copies of each other and equal doc_ids
 are kept or dropped together; null doc_ids sort below all others, and such a row stays only if its whole group has none; an empty
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import checkpointed, partitions
 
-PREFIX = 24
+PREFIX = 64
 #: Sampled rows a range.
 SAMPLE = 60
 LOWEST = -(2**63)
 
-SORTED = "doc_id bigint, part int, prefix binary, digest binary, norm binary"
+SORTED = "doc_id bigint, part int, digest binary, norm binary"
 RUNS = "doc_id bigint, digest binary, part int, run int, size bigint, least bigint, most bigint, border binary, first boolean, last boolean"
 
 
@@ -37,34 +38,51 @@ def normalise(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
-def order_key(norm: bytes, doc_id: int | None) -> tuple[bytes, bytes, int]:
-    return norm[:PREFIX], hashlib.sha256(norm).digest(), LOWEST if doc_id is None else doc_id
+def _id(doc_id: int | None) -> int:
+    return LOWEST if doc_id is None else doc_id
 
 
-def splitters(documents: DataFrame, ranges: int) -> list[tuple[bytes, bytes, int]]:
-    """At most ranges - 1 sampled order keys that cut the table evenly; SAMPLE keys a range reach the driver."""
+def splitters(documents: DataFrame, ranges: int) -> list[tuple[bytes, int]]:
+    """At most ranges - 1 places in the order that cut the table's bytes evenly; SAMPLE short keys a range reach the driver."""
+    if ranges < 2:
+        return []
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    whole = documents.agg(F.sum(size)).first()[0]
+    if not whole:
+        return []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [order_key(normalise(t), d) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["p", "d", "i"])
+            norms = [normalise(t) for t in batch.column("text").to_pylist()]
+            columns = [[n[:PREFIX] for n in norms], [hashlib.sha256(n).digest() for n in norms], [_id(d) for d in batch.column("doc_id").to_pylist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()))], names=["p", "d", "i"])
+
+    some = documents.where(F.rand(7) * whole < size * (ranges * SAMPLE)).mapInArrow(keys, "p binary, d binary, i bigint")
+    found = sorted((bytes(r.p), bytes(r.d), r.i) for r in some.collect())
+    cuts = sorted({i * len(found) // ranges for i in range(1, ranges)} - {0}) if found else []
+    short = [(found[k][0], LOWEST) for k in cuts if found[k][0] != found[k - 1][0]]
+    deep = [found[k] for k in cuts if found[k][0] == found[k - 1][0]]
+    if not deep:
+        return sorted(set(short))
+    wanted = {d for _, d, _ in deep}
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norms = {d: n for n in map(normalise, batch.column("text").to_pylist()) if (d := hashlib.sha256(n).digest()) in wanted}
+            yield pa.RecordBatch.from_arrays([pa.array(list(norms), pa.binary()), pa.array(list(norms.values()), pa.binary())], names=["d", "norm"])
 
-    rows = documents.count()
-    if rows == 0 or ranges < 2:
-        return []
-    sample = documents.sample(fraction=min(1.0, ranges * SAMPLE / rows), seed=7).mapInArrow(run, "p binary, d binary, i bigint")
-    keys = sorted((bytes(r.p), bytes(r.d), r.i) for r in sample.limit(4 * ranges * SAMPLE).collect())
-    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
+    norm = {bytes(r.d): bytes(r.norm) for r in documents.mapInArrow(texts, "d binary, norm binary").groupBy("d").agg(F.min("norm").alias("norm")).collect()}
+    return sorted({*short, *((norm[d], i) for _, d, i in deep)})
 
 
-def _dealt(splits: list[tuple[bytes, bytes, int]]):
+def _dealt(splits: list[tuple[bytes, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             norms = [normalise(t) for t in batch.column("text").to_pylist()]
-            keys = [order_key(n, d) for n, d in zip(norms, ids)]
-            columns = [pa.array(ids, pa.int64()), pa.array([bisect.bisect_right(splits, k) for k in keys], pa.int32()), pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.binary()), pa.array(norms, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "prefix", "digest", "norm"])
+            parts = [bisect.bisect_right(splits, (n, _id(d))) for n, d in zip(norms, ids)]
+            columns = [pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array([hashlib.sha256(n).digest() for n in norms], pa.binary()), pa.array(norms, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "digest", "norm"])
 
     return run
 
@@ -130,8 +148,8 @@ def copies(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     rows = documents.select("doc_id", "text")
     splits = splitters(rows, partitions(spark))
-    laid = rows.mapInArrow(_dealt(splits), SORTED).repartitionById(len(splits) + 1, F.col("part")).sortWithinPartitions("prefix", "digest", "norm", "doc_id")
-    runs = checkpointed(laid.drop("prefix").mapInArrow(_compared, RUNS))
+    laid = rows.mapInArrow(_dealt(splits), SORTED).repartitionById(len(splits) + 1, F.col("part")).sortWithinPartitions("norm", "doc_id")
+    runs = checkpointed(laid.mapInArrow(_compared, RUNS))
     edges = runs.where("border is not null")
     # Empty ranges hold no runs: the parts that have rows are numbered by the driver, which sees at most two short rows a part.
     borders = edges.select("part", "run", "size", "least", "most", "first", "last").collect()
