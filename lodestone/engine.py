@@ -2,33 +2,73 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable
+
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.functions.dialect import to_spark
-from lodestone.sources.readers import TABLES, read_table
+from lodestone.functions.dialect import INTEGER_CAST, NOT_IN, to_spark
+from lodestone.sources.readers import TABLES, read_delimited, read_table
+from lodestone.session import parse_size
 
 
 class Engine:
     """Answers read-only SQL over a folder of Parquet tables, or over tables registered by name.
 
-    sql() is lazy: it returns a DataFrame whose plan Catalyst optimises. Text in the dialect of the tests' oracle (``//``,
-    ``strlen``, ``prefix`` ...) is taken as well as Spark's own.
+    sql() is lazy: it returns a DataFrame whose plan Catalyst optimises. Texts are in the dialect of the tests' oracle, see
+    ``functions.dialect`` for what of it is translated; native() takes Spark's own.
+
+    Table names are this engine's own: engines over other folders in the same session don't change what its texts read.
+    ``budget`` is how many bytes its cached tables may take, by their size on disk ("4 GB"); None sets no bound.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, tables: tuple[str, ...] = TABLES):
+    #: Whose table a name is at the moment, in each session.
+    _owners: dict[tuple[int, str], int] = {}
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, tables: tuple[str, ...] = TABLES, budget: str | None = None):
         self.spark = spark
         self.folder = folder
-        self._cached: dict[str, DataFrame] = {}
+        self.budget = parse_size(budget) if budget else None
+        self._tables: dict[str, DataFrame] = {}
+        self._cached: dict[str, tuple[DataFrame, int]] = {}
         for name in tables if folder else ():
-            self.register(name, read_table(spark, folder, name))
+            self._tables[name] = read_table(spark, folder, name)
 
     def register(self, name: str, df: DataFrame) -> DataFrame:
-        df.createOrReplaceTempView(name)
+        self._tables[name] = df
+        self._owners.pop((id(self.spark), name), None)
         return df
 
+    def _claim(self) -> None:
+        """Gives this engine's tables their names, where another's have them."""
+        for name, df in self._tables.items():
+            if self._owners.get((id(self.spark), name)) != id(self):
+                df.createOrReplaceTempView(name)
+                self._owners[id(self.spark), name] = id(self)
+
+    def load(self, name: str, path: str, schema: str, sep: str = "|", header: bool = False, null: str = "") -> DataFrame:
+        """COPY of delimited text into a table: a line that doesn't fit the schema is an error, not a row of nulls."""
+        return self.register(name, read_delimited(self.spark, path, schema, sep, header, null))
+
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(to_spark(text))
+        """A query in the oracle's dialect."""
+        self._claim()
+        floating = {f.name.lower() for df in self._tables.values() for f in df.schema if f.dataType.typeName() in ("double", "float")} if INTEGER_CAST.search(text) else ()
+        if NOT_IN.search(text):
+            try:
+                return self.spark.sql(to_spark(text, floating, anti=True))
+            except AnalysisException:  # a subquery that refers to what is around it
+                pass
+        return self.spark.sql(to_spark(text, floating))
+
+    execute = sql
+
+    def native(self, text: str) -> DataFrame:
+        """A query in Spark's dialect."""
+        self._claim()
+        return self.spark.sql(text)
 
     execute = sql
 
@@ -46,18 +86,45 @@ class Engine:
 
         try:
             self.explain(text, "simple")
-        except PySparkException:
+        except (PySparkException, ValueError):
             return False
         return True
 
-    def cache(self, name: str, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> None:
-        """Keeps a table in memory, columnar, once it is read."""
-        self._cached[name] = self.register(name, self.spark.table(name).persist(level))
+    def coverage(self, texts: dict[str, str]) -> dict[str, bool]:
+        """Which of the named texts can be planned over this engine's tables; these may be empty, as nothing runs."""
+        return {name: self.supports(text) for name, text in texts.items()}
+
+    def execute_and_verify(self, text: str, oracle: Callable[[str], tuple[list[str], Iterable[tuple]]], digits: int = 6) -> DataFrame:
+        """The query's result if ``oracle``, which gives names and rows of another engine's, has the same rows in any order;
+        otherwise ValueError. Floating point is compared to so many digits. All rows come to the driver: for tests."""
+        df = self.sql(text)
+        names, wanted = oracle(text)
+        if sorted(df.columns) != sorted(names):
+            raise ValueError(f"columns {df.columns} against {list(names)}")
+
+        def plain(row, order):
+            return tuple(f"{row[n]:.{digits}g}" if isinstance(row[n], float) else str(row[n]) for n in order)
+
+        order = [names.index(c) for c in sorted(names)]
+        a = Counter(plain(r, [df.columns.index(c) for c in sorted(names)]) for r in df.collect())
+        b = Counter(plain(r, order) for r in wanted)
+        if a != b:
+            raise ValueError(f"rows of one only: {list((a - b).items())[:5]}, of the other only: {list((b - a).items())[:5]}")
+        return df
+
+    def cache(self, name: str, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> bool:
+        """Keeps a table in memory, columnar, once it is read; False, and nothing is kept, if that would exceed the budget."""
+        df = self._tables[name]
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if self.budget is not None and size + sum(n for _, n in self._cached.values()) > self.budget:
+            return False
+        self._cached[name] = df.persist(level), size
+        return True
 
     def invalidate(self, name: str | None = None) -> None:
-        """Drops one cached table, or all."""
+        """Drops one cached table, or all; tables of the folder are read anew."""
         for key in [name] if name else list(self._cached):
-            if df := self._cached.pop(key, None):
-                df.unpersist()
+            if key in self._cached:
+                self._cached.pop(key)[0].unpersist()
                 if self.folder and key in TABLES:
                     self.register(key, read_table(self.spark, self.folder, key))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bucket widths of range_join beside the whole line.
+WIDTHS = 4
 KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
@@ -30,9 +33,18 @@ def mark(left: DataFrame, right: DataFrame, on: tuple[str, str], name: str = "ma
     return found.select(*[left[c] for c in left.columns], known.alias(name))
 
 
-def theta(left: DataFrame, right: DataFrame, condition: Column, kind: str = "inner") -> DataFrame:
-    """A join on any condition. Without an equality among its terms Spark compares all pairs; give it bounded sides."""
-    return left.join(right, condition, KINDS[kind])
+#: Bytes, as the planner estimates them, up to which a side may be compared with every row of the other.
+BOUNDED = 64 << 20
+
+
+def theta(left: DataFrame, right: DataFrame, condition: Column, kind: str = "inner", bounded: int = BOUNDED) -> DataFrame:
+    """A join on any condition. Without an equality among its terms Spark compares all pairs, so one side must be small: ValueError
+    if neither is estimated at ``bounded`` bytes or less."""
+    out = left.join(right, condition, KINDS[kind])
+    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if min(size(left), size(right)) > bounded and re.search("NestedLoop|CartesianProduct", out._jdf.queryExecution().executedPlan().toString()):
+        raise ValueError("both sides are too large to be compared pair by pair")
+    return out
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
@@ -48,8 +60,19 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: lis
     return both.select("__l.*", *[F.col(f"__r.{v}").alias(v) for v in values])
 
 
-def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
-    """Points with the spans [start, end) that hold them, by equal buckets of the given width instead of all pairs."""
-    p = points.withColumn("__b", F.floor(F.col(at) / width))
-    s = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return p.join(s, (p["__b"] == s["__b"]) & (p[at] >= s[start]) & (p[at] < s[end])).drop("__b")
+def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: float, most: int = 64) -> DataFrame:
+    """Points with the spans [start, end) that hold them, by equal buckets instead of all pairs.
+
+    A span is filed in each bucket it touches. Those that touch more than ``most`` buckets of one width are filed by one ``most`` times
+    as wide, and so on, up to WIDTHS; what is wider still has one bucket, the whole line. Empty spans hold nothing.
+    """
+    length = F.col(end) - F.col(start)
+    level = F.lit(WIDTHS)
+    for k in reversed(range(WIDTHS)):
+        level = F.when(length <= width * float(most) ** (k + 1), k).otherwise(level)
+    size = lambda level: F.lit(width) * F.pow(F.lit(float(most)), level)
+    bucket = lambda x, level: F.when(level == WIDTHS, 0).otherwise(F.floor(x / size(level))).cast("bigint")
+    s = spans.where(length > 0).withColumn("__l", level).withColumn("__b", F.explode(F.sequence(bucket(F.col(start), F.col("__l")), bucket(F.col(end), F.col("__l")))))
+    used = F.broadcast(s.select(F.col("__l").alias("__level")).distinct())
+    p = points.crossJoin(used).withColumn("__b", bucket(F.col(at), F.col("__level")))
+    return p.join(s, (p["__level"] == s["__l"]) & (p["__b"] == s["__b"]) & (p[at] >= s[start]) & (p[at] < s[end])).drop("__l", "__level", "__b")

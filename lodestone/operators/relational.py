@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.functions.dialect import ordering
 
 
-def project(df: DataFrame, **columns: Column | str) -> DataFrame:
-    return df.select(*[(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
-
-
 def aggregate(df: DataFrame, keys: list[str], having: str | None = None, **measures: str) -> DataFrame:
     """Grouped (or, without keys, ungrouped) aggregates given as SQL expressions; partial sums are Spark's own."""
     out = df.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in measures.items()])
@@ -23,10 +19,6 @@ def count_distinct(df: DataFrame, keys: list[str], columns: list[str], name: str
     return df.groupBy(*keys).agg(F.count_distinct(F.struct(*columns)).alias(name))
 
 
-def distinct(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*columns).distinct()
-
-
 def order(df: DataFrame, *keys: str) -> DataFrame:
     """Sorted by keys such as ``"price desc"`` or ``"name nulls first"``; nulls last by default in both directions."""
     return df.orderBy(*[_key(k) for k in keys])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.engine import Engine
 from lodestone.functions import dialect
 from lodestone.operators import joins, relational
+from lodestone.session import scratch
 from lodestone.sources.readers import read_table
 from lodestone.streaming import events as streams
 
@@ -39,6 +42,15 @@ def _span(spark: SparkSession, d: str) -> DataFrame:
     return joins.range_join(read_table(spark, d, "customer").select("c_custkey", "c_acctbal"), spans, "c_acctbal", "lo", "hi", 500).select("c_custkey", "n_name")
 
 
+def _loaded(spark: SparkSession, d: str) -> DataFrame:
+    """A table written as delimited text and loaded again."""
+    path = f"{scratch(spark)}/load-{uuid.uuid4().hex}"
+    read_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").write.csv(path, sep="|")
+    engine = Engine(spark)
+    engine.load("loaded", path, "c_custkey bigint, c_name string, c_acctbal double")
+    return engine.sql("SELECT c_name, c_custkey // 10 AS tens, c_acctbal FROM loaded WHERE c_custkey % 2 = 0")
+
+
 FRAMES: dict[str, tuple[Query, str]] = {
     "df_mark": (
         lambda spark, d: joins.mark(read_table(spark, d, "nation").select("n_nationkey"), read_table(spark, d, "supplier").where("s_acctbal > 8000"), ("n_nationkey", "s_nationkey")),
@@ -68,6 +80,11 @@ FRAMES: dict[str, tuple[Query, str]] = {
         lambda spark, d: read_table(spark, d, "pages").select("page_id", dialect.replace_first(F.col("url"), "/", "|").alias("u")),
         "SELECT page_id, regexp_replace(url, '/', '|') AS u FROM pages",
     ),
+    "df_int_div_large": (
+        lambda spark, d: read_table(spark, d, "orders").select("o_orderkey", dialect.int_div(F.col("o_orderkey") + F.lit(9007199254740993), F.lit(7)).alias("q")),
+        "SELECT o_orderkey, (o_orderkey + 9007199254740993) // 7 AS q FROM orders",
+    ),
+    "df_load_delimited": (_loaded, "SELECT c_name, c_custkey // 10 AS tens, c_acctbal FROM customer WHERE c_custkey % 2 = 0"),
     "x_as_of": (
         _as_of,
         "SELECT b.user_id, b.ts, b.event_id, v.view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts) v ON b.user_id = v.user_id AND b.ts >= v.ts",

@@ -9,10 +9,6 @@ SAME: dict[str, str] = {
     "q01": f"""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum({_REVENUE}), 2) AS sum_disc,
         round(sum({_REVENUE} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-01' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
-    "q02": f"""SELECT s_acctbal, s_name, n_name, p_partkey FROM part, supplier, {_PS} ps, nation, region
-        WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size < 12 AND p_type = 'PROMO' AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE'
-        AND s_acctbal = (SELECT min(s_acctbal) FROM supplier, {_PS} ps, nation, region WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE')
-        ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
     "q03": f"""SELECT l_orderkey, round(sum({_REVENUE}), 2) AS revenue, o_orderdate FROM customer, orders, lineitem
         WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'
         GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
@@ -61,3 +57,17 @@ SAME: dict[str, str] = {
     "q22": """SELECT cntrycode, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM (SELECT substring(c_name, 17, 2) AS cntrycode, c_acctbal FROM customer WHERE substring(c_name, 17, 1) IN ('1', '3', '5', '7')
         AND c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0.00) AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)) AS custsale GROUP BY cntrycode ORDER BY cntrycode""",
 }
+
+#: For Spark, pairs of the parts wanted only, and the least balance of each part's suppliers in the same pass.
+PAIRS: dict[str, tuple[str, str]] = {
+    "q02": (
+        """WITH ps AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 12 AND p_type = 'PROMO'),
+        offers AS (SELECT s_acctbal, s_name, n_name, l_partkey AS p_partkey, min(s_acctbal) OVER (PARTITION BY l_partkey) AS least FROM ps
+            JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')
+        SELECT s_acctbal, s_name, n_name, p_partkey FROM offers WHERE s_acctbal = least ORDER BY s_acctbal DESC NULLS LAST, n_name, s_name, p_partkey LIMIT 100""",
+        f"""SELECT s_acctbal, s_name, n_name, p_partkey FROM part, supplier, {_PS} ps, nation, region
+        WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size < 12 AND p_type = 'PROMO' AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE'
+        AND s_acctbal = (SELECT min(s_acctbal) FROM supplier, {_PS} ps, nation, region WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE')
+        ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+    ),
+}

@@ -21,9 +21,17 @@ def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = N
     return df.select(*columns) if columns else df
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "|", header: bool = False, null: str = "") -> DataFrame:
-    """Delimited text with a given schema. A separator at each line's end, as table generators write it, is accepted."""
-    return spark.read.csv(path, schema=schema, sep=sep, header=header, nullValue=null, mode="PERMISSIVE")
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "|", header: bool = False, null: str = "", malformed: str | None = None) -> DataFrame:
+    """Delimited text with a given schema. A separator at each line's end, as table generators write it, is accepted if the first line has it.
+
+    A line whose fields don't fit is an error when they are read; with ``malformed`` it keeps what fits, and is itself in a column
+    of that name, which is null for other lines.
+    """
+    fields = list((T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields)
+    first = spark.read.text(path).first()
+    whole = T.StructType([*fields, *([T.StructField("__end", T.StringType())] if first and first[0].rstrip("\r").endswith(sep) else []), *([T.StructField(malformed, T.StringType())] if malformed else [])])
+    mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": malformed} if malformed else {"mode": "FAILFAST"}
+    return spark.read.options(sep=sep, header=header, nullValue=null, **mode).schema(whole).csv(path).drop("__end")
 
 
 def values(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> DataFrame:

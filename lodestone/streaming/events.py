@@ -7,31 +7,39 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import scratch
+from lodestone.session import removed, scratch
 
 
-def source(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """A stream of the Parquet files of a table (one file, or a folder of files)."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    return stream.parquet(f"{folder}/{name}.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+def source(spark: SparkSession, folder: str, name: str = "events", close: str | None = "7 days") -> DataFrame:
+    """A stream of the Parquet files of a table (one file, or a folder of files), all of them in its first batch.
 
-
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Everything an aggregating stream gives until its present end, as a table of Parquet files in the shared folder.
-
-    Executors write each trigger's whole result over the last one, under two names in turn, so nothing passes through the driver
-    and a trigger that is run again after a failure leaves the same table. State and progress are kept beside it.
+    With ``close`` a row without values but a time later than the last by so much is added, so that a watermark passes all groups
+    that end by then; its own group stays open and is never given.
     """
-    folder, last = f"{scratch(stream.sparkSession)}/stream-{uuid.uuid4().hex}", []
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path := f"{folder}/{number % 2}")
-        last[:] = [path]
-
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(last[0]) if last else stream.sparkSession.createDataFrame([], stream.schema)
+    path = f"{folder}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    reader = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    stream = reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    if not close:
+        return stream
+    end = f"{scratch(spark)}/end-{uuid.uuid4().hex}"
+    last = rows.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select((F.col("ts") + F.expr(f"INTERVAL {close}")).alias("ts"))
+    rows.limit(0).unionByName(last, allowMissingColumns=True).write.parquet(end)
+    return stream.union(reader.parquet(end).withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """Everything an aggregating stream over source() gives, as a table of Parquet files in the shared folder.
+
+    Append mode: a group is written once, when the watermark has passed it, and its state is dropped. Executors write; nothing goes
+    through the driver. Progress and state are removed at the end.
+    """
+    spark = stream.sparkSession
+    folder = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append")
+    writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    removed(spark, f"{folder}/progress")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,20 +37,86 @@ def test_sizes_that_are_none(text):
         parse_size(text)
 
 
-def test_shim_leaves_literals_and_comments():
-    assert dialect.to_spark("SELECT a // 2, 'x // strlen(y)', strlen(b) -- c // d\n;").rstrip() == "SELECT a  div  2, 'x // strlen(y)', octet_length(b) -- c // d"
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("SELECT a // 2, 'x // strlen(y)', strlen(b) -- c // d\n;", "SELECT a  div  2, 'x // strlen(y)', octet_length(b) -- c // d"),
+        ("SELECT a / 2, a / b FROM t", "SELECT a / 2, (CASE WHEN b = 0 THEN a * CAST('Infinity' AS DOUBLE) ELSE a / b END) FROM t"),
+        ("SELECT x ORDER BY a, b DESC NULLS FIRST", "SELECT x ORDER BY a NULLS LAST, b DESC NULLS FIRST"),
+        ('SELECT "a b", \'it\'\'s\' FROM t', "SELECT `a b`, 'it\\'s' FROM t"),
+        ("SELECT CAST(d AS INT), CAST(count(d / 2) AS INT), CAST(s AS INT) FROM t", "SELECT CAST(bround(d, 0) AS INT), CAST(count(d / 2) AS INT), CAST(s AS INT) FROM t"),
+        ("SELECT struct_pack(k := a, v := b) FROM t", "SELECT struct(a AS k, b AS v) FROM t"),
+    ],
+)
+def test_translation(text, wanted):
+    assert dialect.to_spark(text, {"d"}) == wanted
+
+
+@pytest.mark.parametrize(
+    ("expression", "wanted"),
+    [
+        ("regexp_replace('aaa', 'a', 'b')", "baa"), ("regexp_replace('aaa', 'a', 'b', 'g')", "bbb"), ("regexp_replace('a.b.c', '\\.(\\w)', '-\\1')", "a-b.c"), ("CAST(2.7 AS INT)", 3), ("substring('hello', 0, 3)", "he"), ("CAST(1 AS DOUBLE) / 0", float("inf")),
+        ("-1 / 0", float("-inf")), ("'a\\nb'", "a\\nb"), ("7 // 2", 3), ("-7 // 2", -3), ("strlen('aé')", 3), ("prefix('abc', 'ab')", True), ("TRY(CAST('abc' AS INT))", None), ("9007199254740993 // 1", 9007199254740993), ("list_sort(array(3, NULL, 1))", [1, 3, None]),
+    ],
+)
+def test_dialect_by_value(engine, expression, wanted):
+    assert engine.sql(f"SELECT {expression} AS x").first().x == wanted
 
 
 def test_engine(engine):
-    assert engine.sql("SELECT strlen('aé') AS n, 7 // 2 AS q, prefix('abc', 'ab') AS p").first() == (3, 3, True)
-    assert engine.supports("SELECT n_name FROM nation") and not engine.supports("SELECT nothing FROM nation") and not engine.supports("SELECT FROM WHERE")
+    assert engine.supports("SELECT n_name FROM nation") and not engine.supports("SELECT nothing FROM nation") and not engine.supports("SELECT FROM WHERE") and not engine.supports("SELECT (1")
     assert engine.schema("SELECT count(*) AS n FROM nation").names == ["n"]
-    engine.cache("nation")
+    assert engine.cache("nation")
     assert "InMemoryTableScan" in engine.explain("SELECT n_name FROM nation", "simple")
     engine.invalidate()
     assert "InMemoryTableScan" not in engine.explain("SELECT n_name FROM nation", "simple")
 
 
+def test_cache_budget(spark):
+    engine = Engine(spark, DATA, ("nation", "lineitem"), budget="20 KB")
+    assert engine.cache("nation") and not engine.cache("lineitem")
+    engine.invalidate()
+
+
+def test_engines_do_not_see_each_other(spark):
+    one, other = Engine(spark, DATA, ("nation",)), Engine(spark)
+    other.register("nation", spark.range(3))
+    assert (one.sql("SELECT * FROM nation").count(), other.sql("SELECT * FROM nation").count(), one.sql("SELECT * FROM nation").count()) == (25, 3, 25)
+
+
+def test_execute_and_verify(engine):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW nation AS SELECT * FROM '{DATA}/nation.parquet'")
+
+    def oracle(text):
+        got = duck.execute(text)
+        return [d[0] for d in got.description], got.fetchall()
+
+    assert engine.execute_and_verify("SELECT n_regionkey, avg(n_nationkey) / 3 AS a FROM nation GROUP BY n_regionkey", oracle).count() == 5
+    with pytest.raises(ValueError, match="rows of one only"):
+        engine.execute_and_verify("SELECT n_name FROM nation", lambda text: (["n_name"], [("nowhere",)]))
+
+
+def test_coverage_over_empty_tables(spark):
+    """Every registered text can be planned from schemas alone."""
+    engine = Engine(spark)
+    for name in readers.TABLES:
+        engine.register(name, spark.createDataFrame([], spark.read.parquet(f"{DATA}/{name}.parquet").schema))
+    assert all(engine.coverage(catalogue.SAME).values()) and len(catalogue.SAME) > 150
+
+
+def test_no_broadcast_without_a_bound(spark):
+    """With size-based broadcasts off, only comparisons of all pairs and one-row subqueries are sent to every executor."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    sent = {n for n, q in catalogue.queries().items() if not n.startswith("x_stream") and re.search("BroadcastHashJoin|null_aware", spark._jvm.PythonSQLUtils.explainString(q(spark, DATA)._jdf.queryExecution(), "simple"))}
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sent == set()
+
+
 @pytest.mark.parametrize(
     ("text", "wanted"),
     [
@@ -85,6 +152,10 @@ def test_any_number_of_partitions(spark, name):
 def test_sources(spark, tmp_path):
     (tmp_path / "a.tbl").write_text("1|one|\n2||\n")
     assert rows(readers.read_delimited(spark, str(tmp_path / "a.tbl"), "k int, name string")) == [(1, "one"), (2, None)]
+    (tmp_path / "b.tbl").write_text("1|one\n2|two\nthree|3\n4\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_delimited(spark, str(tmp_path / "b.tbl"), "k int, name string").collect()
+    assert sorted(r.bad for r in readers.read_delimited(spark, str(tmp_path / "b.tbl"), "k int, name string", malformed="bad").cache().where("bad is not null").collect()) == ["4", "three|3"]
     df = readers.values(spark, [(k, k % 3) for k in range(9)], "k int, part int")
     readers.write_parquet(df, str(tmp_path / "out"), ["part"])
     again = readers.read_parquet(spark, str(tmp_path / "out"), columns=["k", "part"])
@@ -123,9 +194,19 @@ def test_as_of_and_range_edges(spark):
     left = spark.createDataFrame([("x", 5), ("x", 1), ("y", 9), (None, 4)], "k string, t int")
     right = spark.createDataFrame([("x", 5, "same"), ("x", 3, "before"), ("y", 10, "after"), (None, 3, "null key")], "k string, t int, v string")
     assert {(r.k, r.t): r.v for r in joins.as_of(left, right, ["k"], "t", ["v"]).collect()} == {("x", 5): "same", ("x", 1): None, ("y", 9): None, (None, 4): "null key"}
-    spans = spark.createDataFrame([(0.0, 10.0, "a"), (10.0, 10.5, "b"), (9.0, 30.0, "c")], "lo double, hi double, v string")
+    spans = spark.createDataFrame([(0.0, 10.0, "a"), (10.0, 10.5, "b"), (9.0, 30.0, "c"), (8.0, 7.0, "backwards"), (9.4, 1e9, "wide"), (-1e300, 1e300, "all"), (None, 3.0, "none")], "lo double, hi double, v string")
     points = spark.createDataFrame([(9.5,), (10.0,), (30.0,), (None,)], "p double")
-    assert sorted((r.p, r.v) for r in joins.range_join(points, spans, "p", "lo", "hi", 4.0).collect()) == [(9.5, "a"), (9.5, "c"), (10.0, "b"), (10.0, "c")]
+    assert sorted((r.p, r.v) for r in joins.range_join(points, spans, "p", "lo", "hi", 4.0).collect()) == sorted(
+        [(9.5, "a"), (9.5, "c"), (10.0, "b"), (10.0, "c"), *[(p, v) for p in (9.5, 10.0, 30.0) for v in ("wide", "all")]]
+    )
+
+
+def test_theta_refuses_two_large_sides(spark):
+    left, right = spark.range(100).toDF("a"), spark.range(100).toDF("b")
+    assert joins.theta(left, right, F.col("a") < F.col("b")).count() == 4950
+    with pytest.raises(ValueError):
+        joins.theta(left, right, F.col("a") < F.col("b"), bounded=10)
+    assert joins.theta(left, right, F.col("a") == F.col("b"), bounded=10).count() == 100
 
 
 def test_stream_over_several_files_and_none(spark, tmp_path):
