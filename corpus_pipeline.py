@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm import langid, linedup, packing, simhash, toxicity
 from lodestone.llm.common import shared_folder, table
 from lodestone.llm.queries import PACKED, PATTERN, PIECES
+from lodestone.session import removed
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir; the stages' tables are written below the shared checkpoint folder."""
+    """The last stage's rows for the documents of sf_dir; the stages' tables are written below the shared checkpoint folder,
+    and each is removed when the next is complete."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
