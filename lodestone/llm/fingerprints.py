@@ -25,7 +25,7 @@ from lodestone.llm.common import let, partitions
 
 WORDS = 5
 FRACTION = 1 / 8
-FEW = 64
+FEW = 48
 _WHOLE = 2**63 - 1
 
 
@@ -90,8 +90,8 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def to_string(a: Column) -> Column:
-    """The sketch as text: 16 hexadecimal digits for its limit and for each hash, ascending."""
-    return F.array_join(F.transform(F.concat(F.array(a["limit"]), a["hashes"]), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """The sketch as text: the eight bytes of its limit and of each hash, ascending, in base 64."""
+    return F.translate(F.base64(F.unhex(F.array_join(F.transform(F.concat(F.array(a["limit"]), a["hashes"]), lambda x: F.lpad(F.hex(x), 16, "0")), ""))), "\r\n", "")
 
 
 def _bucket(value: Column, splits: Column) -> Column:

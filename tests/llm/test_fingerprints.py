@@ -1,5 +1,6 @@
 """op1 against sketches made in Python."""
 
+import base64
 import hashlib
 import re
 import struct
@@ -34,7 +35,7 @@ def hashes(text):
 def sketch(text):
     """Limit and hashes."""
     h = hashes(text)
-    limit = next((min(2**63 - 1, 2**63 >> k) for k in range(3) if len(h) / 2**k <= 64), 2**60)
+    limit = next((min(2**63 - 1, 2**63 >> k) for k in range(3) if len(h) / 2**k <= 48), 2**60)
     return limit, {x for x in h if x <= limit}
 
 
@@ -52,7 +53,7 @@ def expected(rows):
         part = len(text) // 3
         edited = text[: len(text) - part] + other[:part]
         a, b, c = sketch(text), sketch(edited), sketch(other)
-        join = lambda s: "".join(f"{x:016x}" for x in [s[0], *sorted(s[1])])
+        join = lambda s: base64.b64encode(b"".join(x.to_bytes(8) for x in [s[0], *sorted(s[1])])).decode()
         out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), join(a), join(b), round(likeness(a, b), 12), round(likeness(a, c), 12)))
     return sorted(out, key=str)
 
@@ -96,13 +97,13 @@ def test_contained_short_texts(spark):
     assert sum(r.inside == 1.0 for r in found) > 20
 
 
-@pytest.mark.parametrize("n", [10, 40, 70, 150, 300, 600, 2000])
+@pytest.mark.parametrize("n", [10, 40, 60, 150, 250, 450, 600, 2000])
 def test_error_by_length(spark, n):
-    """Root mean square error of the likeness of a text and its edited text, by number of words: no more than 0.1 at any length."""
+    """Root mean square error of the likeness of a text and its edited text, by number of words: no more than 0.12 at any length."""
     rows = [(" ".join(f"a{k}b{i}" for i in range(n)), " ".join([f"a{k}b{i}" for i in range(n * 2 // 3)] + [f"c{k}d{i}" for i in range(n - n * 2 // 3)])) for k in range(60)]
     got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(fps.likeness(fps.sketch(F.col("a")), fps.sketch(F.col("b")))).collect()]
     true = [len(hashes(a) & hashes(b)) / len(hashes(a) | hashes(b)) for a, b in rows]
-    assert (sum((x - y) ** 2 for x, y in zip(got, true)) / len(rows)) ** 0.5 <= (0.1 if n > 64 else 1e-12)
+    assert (sum((x - y) ** 2 for x, y in zip(got, true)) / len(rows)) ** 0.5 <= (0.12 if n > 48 else 1e-12)
 
 
 def test_estimates_containment_of_unequal_texts(spark):
