@@ -47,16 +47,27 @@ def theta(left: DataFrame, right: DataFrame, condition: Column, kind: str = "inn
     return out
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], slices: int = 1) -> DataFrame:
     """For each left row the values of the last right row of the same key at or before its time; null if there is none.
 
-    One shuffle: both sides are laid in one order per key, and a window carries the last right row forward.
+    One shuffle: both sides are laid in one order per key, and a window carries the last right row forward. If a key may hold much of
+    the rows, ``slices`` cuts time at quantiles of the right side, so that a key is dealt to as many tasks; the last right row of the
+    slices before is then joined to each.
     """
     keys = [*by, at]
     one = left.select(*keys, F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(F.struct(*values).alias("v")).schema["v"].dataType).alias("__r"), F.lit(1).alias("__side"))
     two = right.select(*keys, F.lit(None).cast(one.schema["__l"].dataType).alias("__l"), F.struct(*values).alias("__r"), F.lit(0).alias("__side"))
-    order = Window.partitionBy(*by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = one.unionByName(two).withColumn("__r", F.last("__r", ignorenulls=True).over(order)).where("__side = 1")
+    both = one.unionByName(two)
+    if slices > 1:
+        cuts = F.broadcast(right.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 100 * slices).alias("__cuts")))
+        both = both.crossJoin(cuts).withColumn("__slice", F.coalesce(F.size(F.filter("__cuts", lambda x: x < F.col(at))), F.lit(0))).drop("__cuts")
+        last = both.groupBy(*by, "__slice").agg(F.max_by("__r", F.when(F.col("__side") == 0, F.col(at))).alias("__last"))
+        before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        last = last.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__slice").alias("__of"), F.last("__last", ignorenulls=True).over(before).alias("__last"))
+        both = both.join(last, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by], F.col("__slice") == F.col("__of")), "left")
+    order = Window.partitionBy(*by, *(["__slice"] if slices > 1 else [])).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("__r", ignorenulls=True).over(order)
+    both = both.withColumn("__r", F.coalesce(found, F.col("__last")) if slices > 1 else found).where("__side = 1")
     return both.select("__l.*", *[F.col(f"__r.{v}").alias(v) for v in values])
 
 

@@ -194,6 +194,10 @@ def test_as_of_and_range_edges(spark):
     left = spark.createDataFrame([("x", 5), ("x", 1), ("y", 9), (None, 4)], "k string, t int")
     right = spark.createDataFrame([("x", 5, "same"), ("x", 3, "before"), ("y", 10, "after"), (None, 3, "null key")], "k string, t int, v string")
     assert {(r.k, r.t): r.v for r in joins.as_of(left, right, ["k"], "t", ["v"]).collect()} == {("x", 5): "same", ("x", 1): None, ("y", 9): None, (None, 4): "null key"}
+    many = spark.createDataFrame([("x" if k % 3 else None, (k * 37) % 200, k) for k in range(200)], "k string, t int, n int")
+    some = spark.createDataFrame([("x" if k % 4 else None, k * 7 % 150, f"v{k}") for k in range(60)], "k string, t int, v string")
+    assert rows(joins.as_of(many, some, ["k"], "t", ["v"])) == rows(joins.as_of(many, some, ["k"], "t", ["v"], slices=6))
+    assert {(r.k, r.t): r.v for r in joins.as_of(left, right, ["k"], "t", ["v"], slices=3).collect()} == {("x", 5): "same", ("x", 1): None, ("y", 9): None, (None, 4): "null key"}
     spans = spark.createDataFrame([(0.0, 10.0, "a"), (10.0, 10.5, "b"), (9.0, 30.0, "c"), (8.0, 7.0, "backwards"), (9.4, 1e9, "wide"), (-1e300, 1e300, "all"), (None, 3.0, "none")], "lo double, hi double, v string")
     points = spark.createDataFrame([(9.5,), (10.0,), (30.0,), (None,)], "p double")
     assert sorted((r.p, r.v) for r in joins.range_join(points, spans, "p", "lo", "hi", 4.0).collect()) == sorted(
