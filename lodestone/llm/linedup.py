@@ -8,15 +8,15 @@ Chunks of two lines or more that occur again anywhere in the table are removed b
 then the smallest text hash and place).
 
 Of a repeated passage the lines before its first and behind its last end are not a whole chunk. They go as well: where a removed chunk
-has the same lines before or behind it as its first occurrence has, byte for byte, up to MOST lines and REACH characters a side, these
-are removed with it (unless a whole chunk is there in both, which goes by itself). A line that goes always has an equal one at an
-earlier place, so one copy of each stays.
+has the same lines before or behind it as its first occurrence has, byte for byte, up to MOST lines and REACH characters a side and to a
+line that is a chunk of its own, these are removed with it (unless a whole chunk is there in both, which goes by itself). A line that
+goes always has an equal one at an earlier place, so one copy of each stays.
 
 Beside the method, a line of WORDS words or more is a chunk of its own (None: no line is), because passages of over fifty words are to
 be found however many lines they have. A text none of whose chunks is removed stays byte for byte.
 
 Repeats are found by 128-bit hashes, counted with partial sums. Texts of possible repeats (a fixed-size bitmap of the repeated
-hashes finds them in a second scan; what it lets through besides only costs rows) are then grouped as they are, which compares
+hashes finds them in further scans; what it lets through besides only costs rows) are then grouped as they are, which compares
 their bytes: only if all chunks of a hash are one text are they removed. Rows of very frequent chunks are not moved to meet what is
 proven of these.
 
@@ -45,7 +45,8 @@ WORDS: int | None = 50
 REACH = 4096
 BITMAP = 26
 _M = (1 << 64) - 1
-_PLACE = "doc_id bigint, th bigint, start int, stop int, h bigint, g bigint, above bigint, below bigint, chunk string, before array<string>, after array<string>"
+_PLACE = "doc_id bigint, th bigint, start int, stop int, h bigint, g bigint, above bigint, below bigint"
+_TEXT = ", chunk string, before array<string>, after array<string>"
 
 
 def _line_hash(line: str) -> int:
@@ -107,11 +108,11 @@ def _hashes(chunk: str) -> tuple[int, int]:
 
 
 def _near(lines: Iterable[str]) -> list[str]:
-    """The first lines, MOST and REACH characters at most."""
+    """The first lines, MOST and REACH characters at most, before one that is long."""
     out, size = [], 0
     for line in itertools.islice(lines, MOST):
         size += len(line) + 1
-        if size > REACH:
+        if size > REACH or is_long(line):
             break
         out.append(line)
     return out
@@ -135,11 +136,11 @@ def hashes_of(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "h bigint, g bigint")
 
 
-def places(documents: DataFrame, bitmap) -> DataFrame:
+def places(documents: DataFrame, bitmap, texts: bool) -> DataFrame:
     """A row for each candidate chunk that the bitmap has: its document, lines and hashes, the first hashes of the candidates above and
-    below it (0 for none), its text and the lines next to it, nearest first."""
-    fields = T._parse_datatype_string(_PLACE)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.string(), *[pa.list_(pa.string())] * 2]
+    below it (0 for none) and, if asked for, its text and the lines next to it, nearest first."""
+    fields = T._parse_datatype_string(_PLACE + (_TEXT if texts else ""))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.string(), *[pa.list_(pa.string())] * 2][: len(fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
@@ -150,8 +151,10 @@ def places(documents: DataFrame, bitmap) -> DataFrame:
                 for (start, stop), (h, g) in hashes.items():
                     if bits[(h & _M) >> (64 - BITMAP + 3)] >> ((h >> (64 - BITMAP)) & 7) & 1:
                         above, below = (hashes[x][0] if x else 0 for x in found[start, stop])
-                        upwards, downwards = lines[max(0, start - MOST) : start][::-1], lines[stop : stop + MOST]
-                        rows.append((doc_id, th, start, stop, h, g, above, below, "\n".join(lines[start:stop]), _near(upwards), _near(downwards)))
+                        row = (doc_id, th, start, stop, h, g, above, below)
+                        if texts:
+                            row += ("\n".join(lines[start:stop]), _near(lines[max(0, start - MOST) : start][::-1]), _near(lines[stop : stop + MOST]))
+                        rows.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=fields.names)
 
     return documents.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, fields)
@@ -170,12 +173,12 @@ def bitmap_of(repeated: DataFrame):
 def removals(documents: DataFrame) -> DataFrame:
     """doc_id, th (a hash of the text) and the chunks to remove, with the lines next to their first occurrences, for each text that has any."""
     repeated = checkpointed(hashes_of(documents).groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"))
-    found = checkpointed(places(documents, bitmap_of(repeated)))
+    bitmap = bitmap_of(repeated)
     first = F.min(F.struct("doc_id", "th", "start", "above", "below", "before", "after")).alias("first")
-    texts = found.groupBy("h", "g", "chunk").agg(first, F.count("*").alias("n"))
+    texts = places(documents, bitmap, True).groupBy("h", "g", "chunk").agg(first, F.count("*").alias("n"))
     proven = texts.groupBy("h", "g").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n")).where("texts = 1 and n > 1")
     proven = checkpointed(proven.select("h", F.col("g").alias("of"), "first"))
-    rows = found.select("doc_id", "th", "start", "stop", "h", "g", "above", "below")
+    rows = checkpointed(places(documents, bitmap, False))
     same = F.struct("doc_id", "th", "start").eqNullSafe(F.struct("first.doc_id", "first.th", "first.start"))
     gone = attached(rows, proven, "h").where((F.col("g") == F.col("of")) & ~same)
     # Equal candidates next to equal chunks go by themselves.

@@ -79,7 +79,7 @@ def expected(spark, rows):
                     if not (0 <= q < len(cut[j][0]) and 0 <= r < len(cut[k][0])) or cut[j][0][q] != cut[k][0][r]:
                         break
                     size += len(cut[k][0][r]) + 1
-                    if size > 4096:
+                    if size > 4096 or len(cut[k][0][r].split()) >= 50:
                         break
                     gone[j].add(q)
     out = [(i, t if t is None or not gone[k] else "\n".join(x for n, x in enumerate(cut[k][0]) if n not in gone[k]), len(gone[k])) for k, (i, t) in enumerate(rows)]
