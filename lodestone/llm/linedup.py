@@ -28,7 +28,7 @@ sort before others. A text all of whose lines are removed becomes empty.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,40 +89,45 @@ def chunks(hashes: list[int], long: list[bool], cut: int = 0) -> Iterator[tuple[
         yield start, len(long)
 
 
-def candidates(lines: list[str]) -> dict[tuple[int, int], tuple]:
+def candidates(lines: list[str], long: list[bool] | None = None) -> dict[tuple[int, int], tuple]:
     """The chunks of all ways to cut that may be removed, with those above and below them (None for none)."""
-    long, hashes, out = [is_long(line) for line in lines], rolling(lines), {}
-    may = lambda a, b: (b - a >= 2 or long[a]) and any(line and not line.isspace() for line in lines[a:b])
+    long = [is_long(line) for line in lines] if long is None else long
+    hashes, out = rolling(lines), {}
+    said = [bool(line) and not line.isspace() for line in lines]
     for cut in range(CUTS):
-        spans = [x if may(*x) else None for x in chunks(hashes, long, cut)]
+        spans = [x if (x[1] - x[0] >= 2 or long[x[0]]) and True in said[x[0] : x[1]] else None for x in chunks(hashes, long, cut)]
         for above, here, below in zip([None, *spans], spans, [*spans[1:], None]):
-            if here:
-                out.setdefault(here, (above, below))
+            if here and here not in out:
+                out[here] = (above, below)
     return out
 
 
-def _hashes(chunk: str) -> tuple[int, int]:
-    data = chunk.encode("utf-8", "surrogatepass")
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(xxhash.xxh64_intdigest(data, 1)), signed(xxhash.xxh64_intdigest(data, 2))
-
-
-def _near(lines: Iterable[str]) -> list[str]:
-    """The first lines, MOST and REACH characters at most, before one that is long."""
+def _near(lines: list[str], long: list[bool], numbers: range) -> list[str]:
+    """The lines of these numbers, REACH characters at most, before one that is long."""
     out, size = [], 0
-    for line in itertools.islice(lines, MOST):
-        size += len(line) + 1
-        if size > REACH or is_long(line):
+    for k in numbers:
+        size += len(lines[k]) + 1
+        if size > REACH or long[k]:
             break
-        out.append(line)
+        out.append(lines[k])
     return out
 
 
-def _hashed(text: str | None) -> tuple[list[str], dict, dict]:
-    """The lines of a text, its candidates and their hashes."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _hashed(text: str | None) -> tuple[list[str], list[bool], dict, dict]:
+    """The lines of a text, whether each is long, its candidates, and two hashes of each of these."""
     lines = (text or "").split("\n")
-    found = candidates(lines)
-    return lines, found, {x: _hashes("\n".join(lines[slice(*x)])) for x in found}
+    long = [is_long(line) for line in lines]
+    found = candidates(lines, long)
+    data, hashes = memoryview((text or "").encode("utf-8", "surrogatepass")), {}
+    ends = list(itertools.accumulate((len(line.encode("utf-8", "surrogatepass")) + 1 for line in lines), initial=0))
+    for start, stop in found:
+        both = xxhash.xxh3_128_intdigest(data[ends[start] : ends[stop] - 1])
+        hashes[start, stop] = _signed(both >> 64), _signed(both & _M)
+    return lines, long, found, hashes
 
 
 def hashes_of(documents: DataFrame) -> DataFrame:
@@ -130,7 +135,7 @@ def hashes_of(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [x for text in batch.column("text").to_pylist() if text for x in _hashed(text)[2].values()]
+            got = [x for text in batch.column("text").to_pylist() if text for x in _hashed(text)[3].values()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], names=["h", "g"])
 
     return documents.select("text").mapInArrow(run, "h bigint, g bigint")
@@ -147,13 +152,13 @@ def places(documents: DataFrame, bitmap, texts: bool) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))):
-                lines, found, hashes = _hashed(text)
+                lines, long, found, hashes = _hashed(text)
                 for (start, stop), (h, g) in hashes.items():
                     if bits[(h & _M) >> (64 - BITMAP + 3)] >> ((h >> (64 - BITMAP)) & 7) & 1:
                         above, below = (hashes[x][0] if x else 0 for x in found[start, stop])
                         row = (doc_id, th, start, stop, h, g, above, below)
                         if texts:
-                            row += ("\n".join(lines[start:stop]), _near(lines[max(0, start - MOST) : start][::-1]), _near(lines[stop : stop + MOST]))
+                            row += ("\n".join(lines[start:stop]), _near(lines, long, range(start - 1, max(-1, start - 1 - MOST), -1)), _near(lines, long, range(stop, min(len(lines), stop + MOST))))
                         rows.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=fields.names)
 
