@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Callable, Iterable
 
@@ -24,11 +25,15 @@ class Engine:
     ``budget`` is how many bytes its cached tables may take, by their size on disk ("4 GB"); None sets no bound.
     """
 
+    #: Accepted for callers that set it. Without effect: there is no other engine to fall back to.
+    fallback = False
     #: Whose table a name is at the moment, in each session.
-    _owners: dict[tuple[int, str], int] = {}
+    _owners: dict[tuple[str, str], int] = {}
+    _numbers = itertools.count()
 
     def __init__(self, spark: SparkSession, folder: str | None = None, tables: tuple[str, ...] = TABLES, budget: str | None = None):
         self.spark = spark
+        self._number, self._session = next(self._numbers), spark._jsparkSession.sessionUUID()
         self.folder = folder
         self.budget = parse_size(budget) if budget else None
         self._tables: dict[str, DataFrame] = {}
@@ -36,17 +41,29 @@ class Engine:
         for name in tables if folder else ():
             self._tables[name] = read_table(spark, folder, name)
 
+    def buffers(self, cache: str, processing: str) -> bool:
+        """Sets the budget of cached tables, and tells whether the executors' memory for storage and execution holds both sizes.
+
+        What executors have is decided when the session is built or submitted.
+        """
+        self.budget = parse_size(cache)
+        each = self.spark.sparkContext._jsc.sc().getExecutorMemoryStatus().values().iterator()
+        have = 0
+        while each.hasNext():
+            have += each.next()._1()
+        return self.budget + parse_size(processing) <= have
+
     def register(self, name: str, df: DataFrame) -> DataFrame:
         self._tables[name] = df
-        self._owners.pop((id(self.spark), name), None)
+        self._owners.pop((self._session, name), None)
         return df
 
     def _claim(self) -> None:
         """Gives this engine's tables their names, where another's have them."""
         for name, df in self._tables.items():
-            if self._owners.get((id(self.spark), name)) != id(self):
+            if self._owners.get((self._session, name)) != self._number:
                 df.createOrReplaceTempView(name)
-                self._owners[id(self.spark), name] = id(self)
+                self._owners[self._session, name] = self._number
 
     def load(self, name: str, path: str, schema: str, sep: str = "|", header: bool = False, null: str = "") -> DataFrame:
         """COPY of delimited text into a table: a line that doesn't fit the schema is an error, not a row of nulls."""

@@ -78,10 +78,24 @@ def test_cache_budget(spark):
     engine.invalidate()
 
 
+def test_buffers(spark):
+    engine = Engine(spark, DATA, ("nation", "lineitem"))
+    assert engine.buffers("20 KB", "1 MB") and not engine.buffers("20 KB", "500 TB")
+    assert engine.budget == 20_000 and not engine.cache("lineitem")
+    with pytest.raises(ValueError):
+        engine.buffers("much", "more")
+
+
 def test_engines_do_not_see_each_other(spark):
     one, other = Engine(spark, DATA, ("nation",)), Engine(spark)
     other.register("nation", spark.range(3))
     assert (one.sql("SELECT * FROM nation").count(), other.sql("SELECT * FROM nation").count(), one.sql("SELECT * FROM nation").count()) == (25, 3, 25)
+    counts = set()
+    for n in range(30):  # whose objects Python may give one address after the other
+        engine = Engine(spark)
+        engine.register("nation", spark.range(n))
+        counts.add((n, engine.sql("SELECT count(*) AS n FROM nation").first().n))
+    assert counts == {(n, n) for n in range(30)}
 
 
 def test_execute_and_verify(engine):
