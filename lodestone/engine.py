@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.functions.dialect import INTEGER_CAST, NOT_IN, to_spark
+from lodestone.functions.dialect import EXISTS, INTEGER_CAST, NOT_IN, to_spark
 from lodestone.sources.readers import TABLES, read_delimited, read_table
 from lodestone.session import parse_size
 
@@ -73,9 +73,12 @@ class Engine:
         """A query in the oracle's dialect."""
         self._claim()
         floating = {f.name.lower() for df in self._tables.values() for f in df.schema if f.dataType.typeName() in ("double", "float")} if INTEGER_CAST.search(text) else ()
-        if NOT_IN.search(text):
+        anti, schemas = bool(NOT_IN.search(text)), {}
+        if EXISTS.search(text):
+            schemas = {name.lower(): {f.name.lower(): f.dataType.typeName() for f in df.schema} for name, df in self._tables.items()}
+        for form in ({"anti": anti, "schemas": schemas}, {"anti": anti}) if schemas else ({"anti": anti},) if anti else ():
             try:
-                return self.spark.sql(to_spark(text, floating, anti=True))
+                return self.spark.sql(to_spark(text, floating, **form))
             except AnalysisException:  # a subquery that refers to what is around it
                 pass
         return self.spark.sql(to_spark(text, floating))

@@ -147,6 +147,48 @@ def test_plan_shapes(engine, text, wanted):
     assert re.search(wanted, engine.explain(text))
 
 
+@pytest.mark.parametrize("name", ["mixed_mark", "mixed_semi", "mixed_anti", "mixed_right_semi", "mixed_right_anti", "q04"])
+def test_exists_beyond_meets_one_row_a_key(spark, name):
+    """What a row is compared with are its key's extremes, not all rows of the key."""
+    plan = spark._jvm.PythonSQLUtils.explainString(catalogue.queries()[name](spark, DATA)._jdf.queryExecution(), "simple")
+    assert re.search(r"partial_(max|min)\(", plan) and re.search("ExistenceJoin|LeftSemi|LeftAnti", plan)
+
+
+BEYOND = [
+    "b.k = a.k AND b.v > a.v", "b.k = a.k AND a.v < b.v", "b.k = a.k AND b.v >= a.v + 1", "a.k = b.k AND b.v < a.v", "b.k = a.k AND a.v >= b.v AND b.w > 2", "b.v > a.v", "b.v < a.v - 4", "b.k = a.k AND b.v > a.v AND a.w > 1",
+    "b.k + 1 = a.k AND b.w = a.w AND b.v <= a.v", "b.k = a.k AND b.w > a.v", "b.k = a.k AND b.v > a.v AND b.w IS NOT NULL AND b.v IN (1, 2, 'nan')", "b.k = a.k AND b.s > a.s", "b.k = a.k AND b.v > a.v AND b.w < a.w", "b.k = a.k AND b.v <> a.v",
+    "b.k = a.k AND (b.v > a.v OR b.w > a.w)", "b.k = a.k AND b.v BETWEEN a.v AND a.w", "b.k = a.k AND b.v > (SELECT min(v) FROM two)", "b.k = a.k AND b.v > a.v AND b.k > 100",
+]
+
+
+@pytest.mark.parametrize("where", BEYOND)
+def test_exists_beyond_by_value(spark, where):
+    engine, duck = Engine(spark), duckdb.connect()
+    values = ["NULL", "0", "1", "2.5", "'nan'", "'-inf'", "7"]
+    for name, step in (("one", 1), ("two", 3)):
+        cells = [f"({k}, CAST({v} AS DOUBLE), {(n * step) % 5 if n % 4 else 'NULL'}, '{n * step % 13}')" for n, (k, v) in enumerate((k, v) for k in ("1", "2", "NULL", str(3 + step)) for v in (values if k != "2" or step == 1 else values[:1]))]
+        text = f"SELECT * FROM (VALUES {', '.join(cells)}) AS t(k, v, w, s)"
+        duck.execute(f"CREATE TABLE {name} AS {text}")
+        engine.register(name, spark.sql(text))
+    for text in (
+        f"SELECT a.k, a.v, a.w, a.s, EXISTS (SELECT 1 FROM two AS b WHERE {where}) AS found FROM one a",
+        f"SELECT a.k, a.v, a.w, a.s FROM one a WHERE NOT EXISTS (SELECT b.* FROM two b WHERE {where}) AND a.s <> 'x'",
+        f"WITH two AS (SELECT k, CAST(w AS DOUBLE) AS v, v AS w, s FROM one) SELECT count(*) AS n FROM one a WHERE EXISTS (SELECT 1 FROM two b WHERE {where})",
+    ):
+        wanted = [tuple(r) for r in duck.execute(text).fetchall()]
+        assert sorted(map(str, map(tuple, engine.sql(text).collect()))) == sorted(map(str, wanted)), text
+
+
+def test_exists_beyond_leaves_other_texts():
+    types = {"t": {"k": "long", "v": "double", "s": "string", "r": "struct"}}
+    for where in ("t.k = u.k AND t.v > u.v AND t.v < u.w", "k = x OR v > y", "k = x AND s > y", "k = x AND t.r.a > y", "k = x AND v > y ORDER BY 1 LIMIT 0", "k = x AND v + z > y", "k = x AND v > (SELECT 1)", "k = x AND r.a > y"):
+        text = f"SELECT 1 FROM u WHERE EXISTS (SELECT 1 FROM t WHERE {where})"
+        assert "__beyond" not in dialect.to_spark(text, schemas=types)
+    assert "__beyond" not in dialect.to_spark("WITH t AS (SELECT 1 AS k, 'a' AS v) SELECT 1 FROM u WHERE EXISTS (SELECT 1 FROM t WHERE k = x AND v > y)", schemas=types)
+    assert "__beyond" not in dialect.to_spark("SELECT 1 FROM u WHERE EXISTS (SELECT count(*) FROM t WHERE k = x AND v > y)", schemas=types)
+    assert "__beyond" in dialect.to_spark("SELECT 1 FROM u WHERE EXISTS (SELECT 1 FROM t WHERE k = x AND v > y)", schemas=types)
+
+
 def test_no_python_in_any_plan(spark):
     for name, query in catalogue.queries().items():
         if not name.startswith("x_stream"):
